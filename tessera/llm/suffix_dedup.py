@@ -5,8 +5,9 @@ suffixes are sorted: in each window of ``length`` bytes the ``LEAD``-byte string
 window's anchor (leftmost of equals). An anchor depends on the window's bytes alone, so equal windows hang on
 suffixes that start with the same ``LEAD`` bytes at the same offset, and nothing is missed.
 
-1. Suffixes are range-partitioned by their leading tokens (8 bytes each, big-endian) with sampled splitters;
-   splitters compare all leading tokens, so suffixes that agree on them never lie on two sides of a boundary.
+1. Suffixes are range-partitioned by their leading tokens with sampled splitters. The first token is 8 bytes,
+   big-endian; the second stands for the other ``LEAD - 8`` (a hash: only its equality counts, and what it may merge by
+   chance is told apart later by the bytes). Splitters compare both, so suffixes that agree never lie on two sides.
 2. Each bucket is sorted by multikey quicksort, token by token, only ties going on to the next token. Among
    suffixes with one lead, those whose whole span of windows is equal (hash of the span, its place and length)
    are settled: all but the first are removed. Each task settles its own repeats before it shuffles, so a passage
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, byte_lists, cut, documents, keyed, long_array, shuffle_partitions
+from .common import NULL_ID, batch, byte_lists, cut, documents, keyed, long_array, release, shuffle_partitions
 
 LEAD = 32
 TOKENS = LEAD // 8
 PIECE = 1 << 19  # window starts handled at once; below 2 ** 20, see anchors()
 FLUSH = 1_000_000  # suffixes that a task gathers before it sends them
+KEY = np.dtype("S12")  # a suffix's leading tokens as bytes
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-SUFFIX = np.dtype([("lead", ">u8", (TOKENS,)), ("span", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
+SUFFIX = np.dtype([("lead", "<u8"), ("rest", "<u4"), ("span", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("lead", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
@@ -43,14 +45,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def grams(buf: np.ndarray) -> np.ndarray:
+def eights(buf: np.ndarray) -> np.ndarray:
+    """A hash of the 8 bytes at each place."""
+    return mixed(np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,)) + M3)
+
+
+def grams(eight: np.ndarray) -> np.ndarray:
     """A hash of the LEAD bytes at each place."""
-    eight = mixed(np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,)) + M3)
-    n = len(buf) - LEAD + 1
+    n = len(eight) - LEAD + 8
     out = eight[:n] * M2
     for k in range(1, TOKENS):
         out += eight[8 * k : 8 * k + n] * np.uint64((2 * k + 1) * 0x9FB21C651E98DF25 % 2**64 | 1)
-    return mixed(out)
+    out ^= out >> np.uint64(31)
+    out *= M1
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,9 +70,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of all windows in the pieces of buf: their place, and the first and last window that hangs on them."""
-    key = grams(buf) & ~np.uint64((1 << 20) - 1) | np.arange(len(buf) - LEAD + 1, dtype=np.uint64)
+def anchors(gram: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows in the pieces behind gram: their place, and the first and last window that hangs on them."""
+    key = gram & ~np.uint64((1 << 20) - 1) | np.arange(len(gram), dtype=np.uint64)
     at = (sliding_min(key, length - LEAD + 1) & np.uint64((1 << 20) - 1)).astype(np.int64)
     change = np.zeros(len(at) + 1, np.int32)
     many = sizes >= length
@@ -79,30 +87,30 @@ def anchors(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int)
     return at[first], first, np.flatnonzero(ends)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of buf[start:end], from prefix sums of position-weighted hashes of 8 bytes; the same bytes agree wherever they stand."""
-    eight = mixed(np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,)) + M3)
+def span_hash(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from start to end, 8 at a time; the same bytes agree wherever they stand."""
     out, n = np.zeros(len(start), np.uint64), (end - start) // 8
     for k in range(int(n.max(initial=0))):
-        go = k < n
-        out[go] = mixed(out[go] * M2 + eight[start[go] + 8 * k])
+        if k < n.min():
+            out = mixed(out * M2 + eight[start + 8 * k])
+        else:
+            go = np.flatnonzero(k < n)
+            out[go] = mixed(out[go] * M2 + eight[start[go] + 8 * k])
     return mixed(out * M2 + eight[end - 8] + (end - start).astype(np.uint64))
 
 
-def sorted_by_tokens(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort: order by the first token; runs of equals are ordered by the next, and so on. Also the run of each."""
-    order, run = np.argsort(lead[:, 0], kind="stable"), None
-    for k in range(lead.shape[1]):
-        if k:
-            tied = np.flatnonzero(same)  # only members of runs of two or more go on  # noqa: F821
-            order[tied] = order[tied[np.lexsort((lead[order[tied], k], run[tied]))]]
-        value = lead[order, k]
-        new = np.append(True, value[1:] != value[:-1])
-        if run is not None:
-            new[1:] |= run[1:] != run[:-1]
-        run = np.cumsum(new) - 1
-        many = np.bincount(run) > 1
-        same = many[run]  # noqa: F841
+def sorted_by_tokens(*tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort: order by the first token; runs of equals alone are ordered by the next, and so on. Also the run of each."""
+    order, run = np.arange(len(tokens[0])), np.zeros(len(tokens[0]), np.int64)
+    tied = order
+    for token in tokens:
+        own = order[tied]
+        order[tied] = own[np.lexsort((token[own], run[tied]))] if run[tied[-1:]].any() else own[np.argsort(token[own], kind="stable")]
+        value = token[order]
+        run = np.cumsum(np.append(False, (value[1:] != value[:-1]) | (run[1:] != run[:-1])))
+        tied = np.flatnonzero((np.bincount(run) > 1)[run])
+        if not len(tied):
+            break
     return order, run
 
 
@@ -111,7 +119,7 @@ def settle(s: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> tuple[np.ndarray,
     repeat, open_ = np.zeros(len(s), bool), np.zeros(len(s), bool)
     if not len(s):
         return repeat, open_
-    order, run = sorted_by_tokens(s["lead"].astype(np.uint64))
+    order, run = sorted_by_tokens(s["lead"], s["rest"])
     many = (np.bincount(run) > 1)[run]
     order, run = order[many], run[many]
     if not len(order):
@@ -152,13 +160,14 @@ def suffixes(texts: list[bytes], length: int) -> np.ndarray:
         buf = np.frombuffer(raw, np.uint8)
         sizes = np.array([len(p) for _, _, p in lot])
         starts = np.cumsum(sizes) - sizes
-        at, first, last = anchors(buf, starts, sizes, length)
+        eight = eights(buf)
+        gram = grams(eight)
+        at, first, last = anchors(gram, starts, sizes, length)
         of = np.searchsorted(starts, first, side="right") - 1
         s = np.empty(len(at), SUFFIX)
-        words = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))
-        for k in range(TOKENS):
-            s["lead"][:, k] = words[at + 8 * k]
-        s["span"] = span_hash(buf, first, last + length)
+        s["lead"] = np.ndarray((len(buf) - 7,), ">u8", buf, strides=(1,))[at]
+        s["rest"] = gram[at] >> np.uint64(32)
+        s["span"] = span_hash(eight, first, last + length)
         s["doc"] = np.array([d for d, _, _ in lot], np.uint32)[of]
         s["pos"] = at - starts[of] + np.array([a for _, a, _ in lot])[of]
         s["lo"], s["hi"] = at - last, at - first
@@ -167,7 +176,7 @@ def suffixes(texts: list[bytes], length: int) -> np.ndarray:
 
 
 def marks(s: np.ndarray, ids: np.ndarray, ths: np.ndarray, kind: int) -> tuple:
-    lead = mixed(s["lead"].astype(np.uint64) @ np.array([M1, M2, M3, M1 ^ M3][:TOKENS], np.uint64)).view(np.int64)
+    lead = mixed(s["lead"] * M2 + s["rest"]).view(np.int64)
     return ids[s["doc"]], ths[s["doc"]], np.full(len(s), kind), lead, s["pos"].astype(np.int64), s["lo"].astype(np.int32), s["hi"].astype(np.int32)
 
 
@@ -175,28 +184,28 @@ def packed(s: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> bytes:
     """Suffixes column by column, with their own short list of documents."""
     used, doc = np.unique(s["doc"], return_inverse=True)
     head = np.array([len(s), len(used)], "<u8").tobytes()
-    return b"".join([head, ids[used].tobytes(), ths[used].tobytes(), *(np.ascontiguousarray(x).tobytes() for x in (s["lead"], s["span"], doc.astype("<u4"), s["pos"], s["lo"], s["hi"]))])
+    columns = (s["lead"], s["rest"], s["span"], doc.astype("<u2" if len(used) <= 1 << 16 else "<u4"), s["pos"], s["lo"], s["hi"])
+    return b"".join([head, ids[used].tobytes(), ths[used].astype("<i4").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in columns)])
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, d = (int(x) for x in np.frombuffer(blob, "<u8", 2))
-    at, out = 16 + 16 * d, np.empty(n, SUFFIX)
+    at, out = 16 + 12 * d, np.empty(n, SUFFIX)
     for name in SUFFIX.names:
-        kind, shape = SUFFIX[name].base, SUFFIX[name].shape
-        size = n * kind.itemsize * int(np.prod(shape, initial=1))
-        out[name] = np.frombuffer(blob, kind, count=size // kind.itemsize, offset=at).reshape(n, *shape)
-        at += size
-    return out, np.frombuffer(blob, "<i8", d, 16), np.frombuffer(blob, "<i8", d, 16 + 8 * d)
+        kind = SUFFIX[name] if name != "doc" else np.dtype("<u2" if d <= 1 << 16 else "<u4")
+        out[name] = np.frombuffer(blob, kind, n, at)
+        at += n * kind.itemsize
+    return out, np.frombuffer(blob, "<i8", d, 16), np.frombuffer(blob, "<i4", d, 16 + 8 * d).astype(np.int64)
 
 
-def buckets(lead: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The range each suffix falls into; splitters hold all leading tokens, as byte strings of equal length."""
-    rows = np.frombuffer(np.ascontiguousarray(lead, ">u8").tobytes(), np.dtype(f"S{LEAD}"))
-    return np.searchsorted(splitters, rows, side="right")
+def keys(s: np.ndarray) -> np.ndarray:
+    out = np.empty(len(s), [("lead", ">u8"), ("rest", ">u4")])
+    out["lead"], out["rest"] = s["lead"], s["rest"]
+    return out.view(KEY)
 
 
 def sending(length: int, splitters: bytes):
-    cuts = np.frombuffer(splitters, np.dtype(f"S{LEAD}"))
+    cuts = np.frombuffer(splitters, KEY)
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
@@ -206,8 +215,9 @@ def sending(length: int, splitters: bytes):
         s["doc"] += np.repeat(shift[:-1], [len(x[0]) for x in held]).astype(np.uint32)
         repeat, _ = settle(s, ids, ths)
         done, s = s[repeat], s[~repeat]
-        where, rows = buckets(s["lead"], cuts), []
-        order = np.lexsort((s["lead"][:, 0], where))
+        s = s[np.argsort(s["lead"], kind="stable")]
+        where, rows = np.searchsorted(cuts, keys(s), side="right"), []
+        order = np.argsort(where, kind="stable")
         s, where = s[order], where[order]
         edges = np.searchsorted(where, np.arange(len(cuts) + 2))
         rows += [(k, 1, packed(s[a:b], ids, ths)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
@@ -285,9 +295,11 @@ def comparing(length: int):
         t = pa.Table.from_batches(tables).combine_chunks()
         ids, ths, lead, pos, lo, hi = (t.column(c).to_numpy() for c in ("id", "th", "lead", "pos", "lo", "hi"))
         order = np.lexsort((pos, ths, ids, lead))
+        del tables
         data = t.column("context").combine_chunks()
         data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
         flat, offsets = np.frombuffer(data.buffers()[2], np.uint8), np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        eight = eights(flat)
         ids, ths, lead, pos, lo, hi, begin = (x[order] for x in (ids, ths, lead, pos, lo, hi, offsets[:-1]))
         removed = np.zeros((len(ids), length - LEAD + 1), bool)
         for off in range(int(lo.min()), int(hi.max()) + 1):
@@ -295,7 +307,7 @@ def comparing(length: int):
             for part in blocks(lead[rows]):
                 go = rows[part]
                 start = begin[go] + hi[go] - off
-                h = span_hash(flat, start, start + length)
+                h = span_hash(eight, start, start + length)
                 by = np.lexsort((np.arange(len(go)), h, lead[go]))
                 new = np.append(True, (h[by][1:] != h[by][:-1]) | (lead[go][by][1:] != lead[go][by][:-1]))
                 head = by[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -363,23 +375,25 @@ def suffix_dedup(docs: DataFrame, length: int = 100, sampled: int = 5_000, keep_
     """
     if not 2 * LEAD < length <= LEAD + 255:
         raise ValueError(f"length must lie in {2 * LEAD + 1}..{LEAD + 255}")
-    spark, rows = docs.sparkSession, keyed(docs)
+    spark, rows = docs.sparkSession, keyed(docs).withColumn("th", F.hash("text").cast("long"))
     n = shuffle_partitions(spark)
 
     def sample(batches):
         schema = pa.schema([("lead", pa.binary())])
         for b in batches:
-            lead = np.ascontiguousarray(suffixes(byte_lists(b.column("text")), length)["lead"][::16])
-            yield batch(schema, [x.tobytes() for x in lead])
+            some = keys(suffixes(byte_lists(b.column("text")), length)[::16])
+            yield batch(schema, [x.ljust(KEY.itemsize, b"\0") for x in some.tolist()])
 
     share = min(1.0, sampled / max(1, docs.count()))
     found = sorted(bytes(r.lead) for r in rows.select("text").sample(share, 7).mapInArrow(sample, "lead binary").collect())
-    splitters = sorted({found[len(found) * k // (4 * n)] for k in range(1, 4 * n)}) if found else []
+    splitters = sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
     sent = rows.mapInArrow(sending(length, b"".join(splitters)), "bucket int, kind int, blob binary")
-    marked = cut(sent.repartition(n, "bucket").select("kind", "blob").mapInArrow(sorting, "id long, th long, kind int, lead long, pos long, lo int, hi int"))
+    marked = cut(sent.repartitionById(n, "bucket").select("kind", "blob").mapInArrow(sorting, "id long, th long, kind int, lead long, pos long, lo int, hi int"))
+    release(spark)
     opened = marked.where("kind = 1").groupBy("id", "th").agg(F.collect_list(F.struct("lead", "pos", "lo", "hi")).alias("open"))
     around = rows.join(opened, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(contexts(length), "id long, th long, lead long, pos long, lo int, hi int, context binary")
     compared = cut(around.repartition(n, "lead").mapInArrow(comparing(length), "id long, th long, start long, end long"))
+    release(spark)
     settled = marked.where("kind = 0").select("id", "th", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
     spans = settled.unionByName(compared).groupBy("id", "th").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     out = rows.join(spans, ["id", "th"], "left").select("id", "text", "spans")
