@@ -21,9 +21,8 @@ def repeated_runs(docs: DataFrame, run: int) -> DataFrame:
     rows = rows.where(F.size("lines") >= run)
 
     def window(k: Column) -> Column:
-        lines = F.slice("lines", k + 1, run)
-        hashes = [F.xxhash64(lines[i]) for i in range(run)]
-        return F.struct(k.cast("long").alias("start"), F.least(*hashes).alias("mark"), F.unhex(F.md5(F.concat_ws("\n", lines))).alias("content"))
+        lines = [F.get("lines", k + i) for i in range(run)]
+        return F.struct(k.cast("long").alias("start"), F.least(*map(F.xxhash64, lines)).alias("mark"), F.unhex(F.md5(F.concat_ws("\n", *lines))).alias("content"))
 
     windows = rows.select("id", "th", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - run), window)).alias("w")).select("id", "th", "w.*").distinct()
     # A selected line is met again only if its hash belongs to two windows with different places; the rest end here.
