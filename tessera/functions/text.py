@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import values
 
@@ -81,7 +82,7 @@ def repair_diacritics(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "(?<=[A-Za-z])\\?(?=[A-Za-z])", "ḥ"), "(?<![A-Za-z])\\?(?=[a-z])", "Ḥ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(x: pd.Series) -> pd.Series:
     """All entities of HTML 5; there is no SQL function for them."""
     return x.map(html.unescape, na_action="ignore")
@@ -125,7 +126,7 @@ def rewrite_display(x: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(rewritten(p))), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def highlight_name(htmls: pd.Series, names: pd.Series) -> pd.Series:
     """The name, any case, marked in the text of bold spans; tags within them stay as they are."""
     bold, tag = re.compile(r"<(b|strong)>(.*?)</\1>", re.I | re.S), re.compile(r"(<[^>]+>)")
