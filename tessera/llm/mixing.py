@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 LAST = 14  # fractions that one landing settles
@@ -101,6 +101,10 @@ def lot_flight(land: bool):
     return run
 
 
+def lot_of(run):
+    return lambda lot: run(lot.drop(columns="lot"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, lot: int = 20_000) -> DataFrame:
     """doc_id, size (words), source_size, target (its source's) and taken (words the mix takes, repeats counted) of each row.
 
@@ -108,6 +112,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     Lots are formed by a hash of doc_id and size, so that reruns agree; a source with more documents has more lots,
     and none meets in one task. Other columns are ignored.
     """
+    spark = docs.sparkSession
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -127,7 +132,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     while True:
         last = largest <= lot
         lots = F.pmod(F.xxhash64("place"), F.ceil(F.col("n") / lot))
-        rows = cut(rows.groupBy("no_source", "source_key", lots.alias("lot")).applyInPandas(lot_flight(last), schema))
+        # Dealt by lot: else Spark keeps the join's partitions by source, and a hot source's lots meet in one task.
+        dealt = rows.withColumn("lot", lots).repartition(shuffle_partitions(spark), "no_source", "source_key", "lot")
+        rows = cut(dealt.groupBy("no_source", "source_key", "lot").applyInPandas(lot_of(lot_flight(last)), schema))
         if last:
             settled.append(rows)
             break
