@@ -1,5 +1,8 @@
 """Near-duplicates by SimHash, linked through a Gray-order hierarchical index.
 
+near_duplicates() links 64-bit fingerprints at a few differing bits, as follows; similar_groups() links sets of
+shingles at a given similarity by wide fingerprints, as it says.
+
 Fingerprints at ``distance`` or fewer differing bits agree wholly in ``blocks - distance`` of ``blocks`` bit blocks,
 so every choice of kept blocks makes one table and each linked pair meets in at least one of them. Within a table
 the bits are permuted so that the kept ones lead, and fingerprints are sorted by Gray rank. Upper nodes hold the bit
@@ -19,12 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, byte_lists, cut, documents, long_array, shuffle_partitions
+from .common import NULL_ID, batch, byte_lists, cut, documents, keyed, long_array, shuffle_partitions
 from .components import connected_components
 
 SEED = 42
 LEVELS = 4  # of nodes below the kept blocks
 PAIRS = 1 << 20  # node pairs compared at once
+WIDE, WIDE_PAIRS, FAN = 16, 1 << 16, 8  # words of a wide fingerprint; its node pairs compared at once; nodes below a node
+BANDS, ROWS = 24, 6  # at similarity 0.8, all bands differ for 7 in 10,000 pairs
+SLACK = 2.3  # standard deviations of the differing bits allowed for: 1 in 100 pairs at the similarity itself is missed
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -235,13 +241,165 @@ def near_duplicates(docs: DataFrame, words: int = 5, distance: int = 3) -> DataF
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
-    """docs, of each group of near-duplicates only the document with the smallest doc_id.
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of the word shingles, sorted; none if the text has no words."""
+    found = text.lower().split()
+    shingles = {b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+
+
+def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
+    out = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ out >> np.uint64(29)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE words of 64 bits over distinct shingles, each counted once."""
+    total = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = hashes[at : at + 16_384]
+        for k in range(WIDE):
+            total[k] += np.unpackbits(mixed(part, k + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key a band, of its ROWS smallest hashes under as many orders; equal with the chance similarity ** ROWS."""
+    least = np.array([mixed(hashes, 1_000 + k).min() if len(hashes) else 0 for k in range(BANDS * ROWS)], "<u8").reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least)]
+
+
+def describing(words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("own", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            own, fps, bands = [], [], []
+            for text in byte_lists(b.column("text")):
+                hashes = shingle_hashes(text, words)
+                own.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63)
+                fps.append(wide_fingerprint(hashes).tobytes())
+                bands.append(band_keys(hashes))
+            if own:
+                yield batch(schema, b.column("id"), b.column("th"), own, fps, bands)
+
+    return run
+
+
+def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest: Forest, distance: int) -> None:
+    """Joins entries of one bucket whose codes (rows of 64-bit words) differ in at most ``distance`` bits.
+
+    In Gray order, nodes stand for up to FAN nodes below and hold the bits that all of those have set, or unset. Bits
+    set in one node and unset in another differ for all pairs below, so too many of them drop both groups whole.
+    """
+    order = np.lexsort((gray_rank(code[:, 0]), bucket))
+    code, bucket, entry = code[order], bucket[order], entry[order]
+    near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1, dtype=np.int64) <= distance))
+    forest.join(entry[near], entry[near + 1])
+    starts, child = [np.arange(len(code))], []  # rows at which nodes start, from the leaves up; children's bounds
+    while True:
+        owner = bucket[starts[-1]]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        if len(first) == len(owner):
+            break
+        within = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+        heads = np.flatnonzero(within % FAN == 0)
+        child.append(np.append(heads, len(owner)))
+        starts.append(starts[-1][heads])
+    ones = [np.bitwise_and.reduceat(code, at, axis=0) for at in starts]
+    zeros = [np.bitwise_and.reduceat(~code, at, axis=0) for at in starts]
+    top = len(starts) - 1
+    roots = np.arange(len(starts[top]))
+    stack = [(top, roots, roots)] if top else []
+    while stack:
+        level, u, v = stack.pop()
+        if level == 0:
+            forest.join(entry[u], entry[v])
+            continue
+        label = forest.label[entry]
+        low, high = np.minimum.reduceat(label, starts[level]), np.maximum.reduceat(label, starts[level])
+        apart = (low[u] != high[u]) | (low[v] != high[v]) | (low[u] != low[v])
+        u, v = u[apart], v[apart]
+        bound = child[level - 1]
+        n_u, n_v = bound[u + 1] - bound[u], bound[v + 1] - bound[v]
+        total = np.cumsum(n_u * n_v)
+        at = 0
+        while at < len(u):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + WIDE_PAIRS, side="right")))
+            size = n_u[at:end] * n_v[at:end]
+            pair = np.repeat(np.arange(at, end), size)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+            a, b = bound[u[pair]] + k // n_v[pair], bound[v[pair]] + k % n_v[pair]
+            go = (u[pair] != v[pair]) | ((a < b) if level == 1 else (a <= b))
+            a, b = a[go], b[go]
+            differ = (ones[level - 1][a] & zeros[level - 1][b]) | (zeros[level - 1][a] & ones[level - 1][b])
+            go = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= distance
+            if go.any():
+                stack.append((level - 1, a[go], b[go]))
+            at = end
+
+
+def linking_wide(distance: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Rows that repeat that doc_id all stay, and so do documents without a doc_id, which can't be told apart.
+    def run(batches):
+        parts = [(long_array(b.column("band")), long_array(b.column("own")), b"".join(b.column("fp").to_pylist())) for b in batches if b.num_rows]
+        if not parts:
+            return
+        band, own = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
+        code = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(-1, WIDE)
+        name, entry = np.unique(own, return_inverse=True)
+        forest = Forest(len(name))
+        connect_wide(code, band, entry, forest, distance)
+        moved = np.flatnonzero(forest.label != np.arange(len(name)))
+        for at in range(0, len(moved), 100_000):
+            m = moved[at : at + 100_000]
+            yield batch(schema, name[m], name[forest.label[m]])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id, th (see keyed()), first_id and first_th of each row: the smallest of its group of near-duplicates.
+
+    Texts of equal shingle sets are linked, and so are texts whose wide fingerprints differ in no more bits than sets
+    of this Jaccard similarity do, with allowance for chance. Two sets of cosine c differ in a bit with the chance
+    arccos(c) / pi, and c is at least 2 s / (1 + s). At 0.8 that is 15 in 100 bits, too many to deal fingerprints by
+    whole bit blocks, so they are dealt by bands of smallest shingle hashes and linked within a band in Gray order.
+    Texts without words, null ones too, are one group. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    distance = int(64 * WIDE * chance + SLACK * (64 * WIDE * chance * (1 - chance)) ** 0.5)
+    rows = cut(keyed(docs).mapInArrow(describing(words), "id long, th long, own long, fp binary, bands array<long>"))
+    least = F.min(F.struct("id", "th")).alias("least")
+    sets = cut(rows.groupBy("own").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    bands = sets.select("own", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    dealt = bands.join(shared, "band").join(sets.select("own", "fp"), "own").repartition(shuffle_partitions(spark), "band")
+    edges = dealt.select("band", "own", "fp").mapInArrow(linking_wide(distance), "a long, b long")
+    root = connected_components(edges).select(F.col("node").alias("own"), F.col("component").alias("root"))
+    named = cut(sets.select("own", "least").join(root, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root")))
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(first, "root").select("own", "first")
+    return rows.select("id", "th", "own").join(named, "own").select("id", "th", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, of each group of near-duplicates (see similar_groups()) one document: the smallest doc_id, null last, of equal ones the smallest hash of the text.
+
+    Of rows that repeat that document one stays. All columns are kept.
     """
-    spare = near_duplicates(docs, words, distance).where("doc_id != component_id").select(F.col("doc_id").alias("__spare")).distinct()
-    return docs.join(spare, docs["doc_id"] == F.col("__spare"), "left_anti")
+    groups = cut(similar_groups(docs, words, similarity))
+    kept = groups.where("id = first_id and th = first_th").groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
+    kept = cut(kept)
+    rows = docs.withColumns({"__key": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64(docs["text"])})
+    on = (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    single = rows.join(kept.where("__n = 1"), on, "left_semi")
+    repeated = rows.join(kept.where("__n > 1"), on, "left_semi").dropDuplicates(["__key", "__hash"])
+    return single.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

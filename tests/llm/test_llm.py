@@ -86,7 +86,54 @@ def test_simhash(docs, rows, none):
         f = int(r.fingerprint, 16)
         assert r.doc_id in fps[f] and r.component_id == min(least[find(f)], default=None)
     assert simhash.near_duplicates(none, 3).count() == 0
-    assert simhash.one_per_group(docs, 3).columns == docs.columns
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_groups(spark, docs, rows, none):
+    """Edited copies are found, others are left alone; groups of many copies, ties and awkward rows."""
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    made, base = [], [text(rng.randrange(60, 400)) for _ in range(40)]
+    for k, own in enumerate(base):
+        made.append((k, " ".join(own)))
+        for copy in range(12 if k == 0 else 2):
+            edited = list(own)
+            for _ in range(max(1, len(own) // 120)):  # about 5 shingles an edit: similarity 0.9 or so
+                edited[rng.randrange(len(own))] = "edit"
+            made.append((100 + 20 * k + copy, " ".join(edited)))
+        made.append((2_000 + k, " ".join(own[: len(own) // 2] + text(len(own) // 2))))  # a third in common
+    got = {r.id: r.first_id for r in simhash.similar_groups(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in made}
+    for (i, _), (j, _) in combinations(made, 2):
+        s = jaccard(sets[i], sets[j])
+        assert got[i] == got[j] or s < 0.82
+        assert got[i] != got[j] or s > 0.45  # chains may join less similar ones
+    assert all(got[2_000 + k] == 2_000 + k for k in range(40))
+    kept = simhash.one_per_group(docs)
+    assert kept.columns == docs.columns and simhash.one_per_group(none).count() == 0
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 102 not in ids and 103 in ids and 104 not in ids and None in ids
+    many = [(k, f"x {k}" if k % 3 else "the same text again and again for all of them") for k in range(3_000)] + [(0, "the same text again and again for all of them")] * 50 + [(None, "x 1")] * 3
+    kept = simhash.one_per_group(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *(k for k in range(3_000) if k % 3)]
+
+
+def test_wide_index_finds_all_links():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (60, simhash.WIDE), dtype=np.uint64)
+    code = base[rng.integers(0, 60, 900)]
+    for _ in range(40):
+        code[np.arange(900), rng.integers(0, simhash.WIDE, 900)] ^= np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)
+    bucket = rng.integers(0, 3, 900)
+    want, got = simhash.Forest(900), simhash.Forest(900)
+    for k in range(900):
+        other = np.flatnonzero((np.bitwise_count(code ^ code[k]).sum(axis=1) <= 70) & (bucket == bucket[k]))
+        want.join(np.full(len(other), k), other)
+    simhash.connect_wide(code, bucket, np.arange(900), got, 70)
+    assert np.array_equal(want.label, got.label) and len(set(want.label)) > 180
 
 
 @pytest.mark.parametrize("blocks", [4, 5, 6])
@@ -254,11 +301,13 @@ def test_pipeline(spark):
             gone |= {p, p + 1, p + 2} if w in seen else set()
             seen.add(w)
         text[r.doc_id] = "\n".join(x for k, x in enumerate(own) if k not in gone)
-    fps = {i: brute_fingerprint(t, 5) for i, t in text.items()}
+    hashes = {i: simhash.shingle_hashes(t.encode(), 5) for i, t in text.items()}
+    fps = {i: int.from_bytes(simhash.wide_fingerprint(h).tobytes(), "little") for i, h in hashes.items()}
+    most = max(d for d in range(1024) if d <= 1024 * 0.1514 + 2.3 * (1024 * 0.1514 * 0.8486) ** 0.5)  # arccos(8 / 9) / pi
     root = {i: i for i in text}
     find = lambda i: i if root[i] == i else find(root[i])
     for a, b in combinations(sorted(text), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3:
+        if np.array_equal(hashes[a], hashes[b]) or ((fps[a] ^ fps[b]).bit_count() <= most and set(simhash.band_keys(hashes[a])) & set(simhash.band_keys(hashes[b]))):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     kept = {i: t for i, t in text.items() if find(i) == i}
