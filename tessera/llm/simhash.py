@@ -248,27 +248,37 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
 
 
-def mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
-    out = (hashes ^ np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xFF51AFD7ED558CCD)
+def mixed(hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A row for each hash, in it another hash for each salt."""
+    out = (hashes[:, None] ^ salts) * np.uint64(0xFF51AFD7ED558CCD)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return out ^ out >> np.uint64(29)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def salts(first: int, count: int) -> np.ndarray:
+    return np.arange(first, first + count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+FOR_BITS, FOR_BANDS = salts(1, WIDE), salts(1_000, BANDS * ROWS)
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """SimHash of WIDE words of 64 bits over distinct shingles, each counted once."""
-    total = np.zeros((WIDE, 64), np.int64)
-    for at in range(0, len(hashes), 16_384):
-        part = hashes[at : at + 16_384]
-        for k in range(WIDE):
-            total[k] += np.unpackbits(mixed(part, k + 1).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8").ravel()
+    total = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 2_048):
+        bits = np.unpackbits(mixed(hashes[at : at + 2_048], FOR_BITS).astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
     """One key a band, of its ROWS smallest hashes under as many orders; equal with the chance similarity ** ROWS."""
-    least = np.array([mixed(hashes, 1_000 + k).min() if len(hashes) else 0 for k in range(BANDS * ROWS)], "<u8").reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least)]
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF if len(hashes) else 0, "<u8")
+    for at in range(0, len(hashes), 1_024):
+        np.minimum(least, mixed(hashes[at : at + 1_024], FOR_BANDS).min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
 def describing(words: int):
