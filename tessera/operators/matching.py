@@ -15,6 +15,19 @@ from ..functions import text, values
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
+def spread(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a small input, which would be scanned and split into runs in one task or a few, dealt over all cores by their keys.
+
+    Small is what Spark's own statistics put under one scan split a core; a larger or unknown input stays as it is
+    scanned and isn't shuffled.
+    """
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return texts.repartition(cores, *keys) if size < cores * split else texts
+
+
 def tokens(x: Column, pattern: str = TOKEN) -> Column:
     return F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.lower)
 
@@ -34,7 +47,7 @@ def name_ngrams(texts: DataFrame, keys: list[str], column: str, most: int, sizes
     """Distinct name n-grams (column gram) of each text: tokens are letters, apostrophes and hyphens."""
     words = tokens(F.col(column), values.NAME_TOKEN)
     grams = ngrams(F.col("__w"), sizes or list(range(1, most + 1)))
-    return texts.withColumn("__w", words).select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
+    return spread(texts.select(*dict.fromkeys([*keys, column])), keys).withColumn("__w", words).select(*keys, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def spelled(x: Column) -> Column:
@@ -64,7 +77,7 @@ def term_matches(texts: DataFrame, keys: list[str], column: str, dictionary: Dat
     sizes = sorted(r.n for r in counted.collect() if r.n > 0)
     if not sizes:
         return texts.select(*keys).join(dictionary.where("false"))
-    grams = texts.select(*keys, spelled(F.col(column)).alias("__pieces")).select(*keys, F.explode(spelled_ngrams(F.col("__pieces"), sizes)).alias("__key"))
+    grams = spread(texts.select(*dict.fromkeys([*keys, column])), keys).select(*keys, spelled(F.col(column)).alias("__pieces")).select(*keys, F.explode(spelled_ngrams(F.col("__pieces"), sizes)).alias("__key"))
     return grams.join(keyed, "__key").select(*keys, *dictionary.columns)
 
 
@@ -76,4 +89,4 @@ def alternation(terms: list[str]) -> str:
 def substring_matches(texts: DataFrame, keys: list[str], column: str, terms: list[str]) -> DataFrame:
     """keys, place (from 0) and keyword of each leftmost, longest-first, non-overlapping match, anywhere in a word."""
     found = F.regexp_extract_all(column, F.lit(f"(?iu)({alternation(terms)})"), F.lit(0))
-    return texts.select(*keys, F.posexplode(found).alias("place", "hit")).withColumn("keyword", F.lower("hit")).drop("hit")
+    return spread(texts.select(*dict.fromkeys([*keys, column])), keys).select(*keys, F.posexplode(found).alias("place", "hit")).withColumn("keyword", F.lower("hit")).drop("hit")

@@ -61,7 +61,7 @@ with w as (select source, regexp_extract_all(lower(text), '{LETTER}+') as ws fro
 select source as location, keyword, count(*) as n from g where keyword in ({", ".join(f"'{k}'" for k in KEYWORDS)}) group by all""")
 def keyword_index_words(spark, sf_dir):
     """Whole words are met by an equi-join; counts are combined before the shuffle."""
-    words = table(spark, sf_dir, "documents").select("source", F.explode(matching.tokens(F.col("text"))).alias("keyword"))
+    words = matching.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"]).select("source", F.explode(matching.tokens(F.col("text"))).alias("keyword"))
     return words.where(F.col("keyword").isin(KEYWORDS)).groupBy(F.col("source").alias("location"), "keyword").agg(F.count("*").alias("n"))
 
 
@@ -300,7 +300,7 @@ def long_phrases(spark, sf_dir):
     first = F.array_join(F.slice(matching.tokens(F.col("text")), 2, 6), " ")
     items, docs = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     keyed = table(spark, sf_dir, "benchmark").select("item_id", first.alias("gram"))
-    grams = docs.withColumn("w", matching.tokens(F.col("body"))).select("doc_id", F.explode(F.array_distinct(matching.ngrams(F.col("w"), [6]))).alias("gram"))
+    grams = matching.spread(docs, ["doc_id"]).withColumn("w", matching.tokens(F.col("body"))).select("doc_id", F.explode(F.array_distinct(matching.ngrams(F.col("w"), [6]))).alias("gram"))
     met = grams.join(keyed, "gram").select("doc_id", "item_id").distinct()
     return met.join(docs, "doc_id").join(items, "item_id").where(F.contains("body", F.col("phrase"))).select("doc_id", "item_id")
 
