@@ -28,51 +28,44 @@ def entity_rows(docs: DataFrame, key: str) -> DataFrame:
 
 
 def entity_hits(entities: DataFrame, terms: DataFrame) -> DataFrame:
-    """entity, source, term of dictionary terms within distinct entity texts."""
-    return matching.term_matches(entities.select("entity").distinct(), ["entity"], "entity", terms)
+    """entity and hits (source, value of dictionary terms within it), one row for each distinct entity text that has any."""
+    found = matching.term_matches(entities.select("entity").distinct(), ["entity"], "entity", terms)
+    return found.groupBy("entity").agg(F.collect_set(F.struct("source", text.tag_value(F.col("term")).alias("value"))).alias("hits"))
 
 
-def last_part(tag: Column) -> Column:
-    return F.regexp_extract(tag, "([^:]*)$", 1)
+def values_of(pairs: Column, *sources: str) -> Column:
+    """Values of the given sources among (source, value) pairs."""
+    return F.transform(F.filter(pairs, lambda p: p["source"].isin(*sources)), lambda p: p["value"])
+
+
+def prefixed(kind: str, found: Column) -> Column:
+    return F.transform(found, lambda v: F.concat(F.lit(f"{kind}:"), v))
 
 
 def entity_tags(entities: DataFrame, hits: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """Tags that entities give: divine names, persons that are no place, places that are no person."""
-    persons = entities.where("label = 'PERSON'")
-    divine = F.col("value").isin(values.DIVINE_NAMES)
-    tags = [persons.where(divine).select(key, F.concat(F.lit("concept:divine_name_"), "value").alias("tag"))]
-    real = persons.where(~divine & ~F.col("value").isin(values.NON_PERSONS))
-    real = real.join(hits.where(F.col("source").isin(*PLACES)).select("entity").distinct(), "entity", "left_anti")
-    tags += known_or_own(real, hits.where("source = 'bible_names'"), key, "person")
-
+    persons = terms.where(F.col("source").isin("names", "bible_names")).select(text.tag_value(F.col("term")).alias("value")).distinct().withColumn("named", F.lit(True))
+    rows = entities.join(hits, "entity", "left").join(persons, "value", "left").withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<source: string, value: string>>)")))
+    none, value = F.expr(text.NO_STRINGS), F.col("value")
+    known_or_own = lambda kind, *sources: F.when(F.size(values_of(F.col("hits"), *sources)) > 0, prefixed(f"{kind}:bible", values_of(F.col("hits"), *sources))).otherwise(F.array(F.concat(F.lit(f"{kind}:"), value)))
+    person = F.when(value.isin(values.DIVINE_NAMES), F.array(F.concat(F.lit("concept:divine_name_"), value)))
+    person = person.when(value.isin(values.NON_PERSONS) | (F.size(values_of(F.col("hits"), *PLACES)) > 0), none).otherwise(known_or_own("person", "bible_names"))
     edged = F.col("entity").rlike(f"^{text.WORD}") & F.col("entity").rlike(f"{text.WORD}$")
-    person_values = terms.where(F.col("source").isin("names", "bible_names")).select(text.tag_value(F.col("term")).alias("value")).distinct()
-    places = entities.where(F.col("label").isin("GPE", "LOC"))
-    named = places.where(edged).join(person_values, "value", "left_semi").select("entity").distinct()
-    places = places.join(named, "entity", "left_anti")
-    tags += known_or_own(places, hits.where(F.col("source").isin("bible_places", "bible_nations")), key, "place")
-    return reduce(DataFrame.unionByName, tags)
+    place = F.when(edged & F.col("named").isNotNull(), none).otherwise(known_or_own("place", "bible_places", "bible_nations"))
+    tags = F.when(F.col("label") == "PERSON", person).when(F.col("label").isin("GPE", "LOC"), place).otherwise(none)
+    return rows.select(key, F.explode(tags).alias("tag"))
 
 
-def known_or_own(entities: DataFrame, hits: DataFrame, key: str, kind: str) -> list[DataFrame]:
-    known = entities.join(hits.select("entity", "term"), "entity").select(key, F.concat(F.lit(f"{kind}:bible:"), text.tag_value(F.col("term"))).alias("tag"))
-    own = entities.join(hits.select("entity").distinct(), "entity", "left_anti").select(key, F.concat(F.lit(f"{kind}:"), "value").alias("tag"))
-    return [known, own]
-
-
-def unless_named(found: DataFrame, tags: DataFrame, key: str, kind: str) -> DataFrame:
+def unless_named(found: Column, tags: Column, kind: str) -> Column:
     """Tags kind:value, unless a tag of that kind already ends in the value."""
-    taken = tags.where(F.col("tag").startswith(f"{kind}:")).select(key, last_part(F.col("tag")).alias("value")).distinct()
-    return found.join(taken, [key, "value"], "left_anti").select(key, F.concat(F.lit(f"{kind}:"), "value").alias("tag"))
+    taken = F.transform(F.filter(tags, lambda t: t.startswith(f"{kind}:")), lambda t: F.regexp_extract(t, "([^:]*)$", 1))
+    return prefixed(kind, F.array_except(found, taken))
 
 
-def topic_tags(docs: DataFrame, concepts: DataFrame, key: str) -> DataFrame:
-    """Tags of words within noun phrases; shabbat only where it is no concept."""
-    has = lambda w: F.exists("noun_phrases", lambda p: F.contains(F.lower(p), F.lit(w)))
-    found = F.array_compact(F.array(*(F.when(has(w), F.lit(f"topic:{t}")) for w, t in values.TOPIC_WORDS)))
-    rows = docs.select(key, F.explode(F.array_distinct(found)).alias("tag"))
-    keeping = concepts.where("tag = 'concept:shabbat'").select(key, F.lit("topic:shabbat").alias("tag")).distinct()
-    return rows.join(keeping, [key, "tag"], "left_anti")
+def topic_words_tags(phrases: Column) -> Column:
+    """Tags of words within noun phrases."""
+    has = lambda w: F.exists(phrases, lambda p: F.contains(F.lower(p), F.lit(w)))
+    return F.array_distinct(F.array_compact(F.array(*(F.when(has(w), F.lit(f"topic:{t}")) for w, t in values.TOPIC_WORDS))))
 
 
 def generate_tags(docs: DataFrame, terms: DataFrame, key: str = "key", topics: DataFrame | None = None) -> DataFrame:
@@ -80,23 +73,26 @@ def generate_tags(docs: DataFrame, terms: DataFrame, key: str = "key", topics: D
 
     docs: key, text, entities (array of struct text, label), noun_phrases. terms: source, term (see dictionary()).
     topics: key, words (most weighty first). Documents without tags get an empty list.
+
+    What entities, the text, noun phrases and topics give is gathered once by key, so each is computed once; unions and
+    differences are array functions on that one row, which holds distinct terms and tags alone.
     """
-    docs = docs.withColumn("noun_phrases", F.coalesce("noun_phrases", F.expr(text.NO_STRINGS)))
     entities = entity_rows(docs, key)
-    base = entity_tags(entities, entity_hits(entities, terms), terms, key)
-    matches = matching.term_matches(docs.select(key, "text"), [key], "text", terms).select(key, "source", text.tag_value(F.col("term")).alias("value")).distinct()
-    of = lambda *sources: matches.where(F.col("source").isin(*sources))
-    tag = lambda df, prefix: df.select(key, F.concat(F.lit(f"{prefix}:"), "value").alias("tag"))
-    base = reduce(DataFrame.unionByName, [base, tag(of("bible_names"), "person:bible"), tag(of("bible_places", "bible_nations"), "place:bible")]).distinct()
-    drop = tag(of("bible_names"), "person").unionByName(tag(of("bible_places", "bible_nations"), "place")).distinct()
-    concepts = tag(of("concepts"), "concept")
-    sets = [base, unless_named(of("names").select(key, "value").distinct(), base, key, "person"), unless_named(of("toponyms").select(key, "value").distinct(), base, key, "place"), concepts]
-    tags = reduce(DataFrame.unionByName, sets).join(drop, [key, "tag"], "left_anti")
-    tags = tags.unionByName(topic_tags(docs, concepts.unionByName(base), key))
+    matches = matching.term_matches(docs.select(key, "text"), [key], "text", terms).select(key, "source", text.tag_value(F.col("term")).alias("value"))
+    phrases = docs.select(key, F.explode(topic_words_tags(F.coalesce("noun_phrases", F.expr(text.NO_STRINGS)))).alias("value"))
+    parts = [matches, entity_tags(entities, entity_hits(entities, terms), terms, key).select(key, F.lit("entity tag").alias("source"), F.col("tag").alias("value")), phrases.select(key, F.lit("phrase tag").alias("source"), "value")]
     if topics is not None:
-        tags = tags.unionByName(topics.where(F.size("words") > 0).select(key, F.concat(F.lit("topic:"), F.element_at("words", 1)).alias("tag")))
-    listed = tags.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    return docs.select(key).join(listed, key, "left").select(key, F.coalesce("tags", F.expr(text.NO_STRINGS)).alias("tags"))
+        parts.append(topics.where(F.size("words") > 0).select(key, F.lit("topic tag").alias("source"), F.concat(F.lit("topic:"), F.element_at("words", 1)).alias("value")))
+    rows = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.collect_set(F.struct("source", "value")).alias("found"))
+    of = lambda *sources: values_of(F.col("found"), *sources)
+    rows = rows.withColumn("base", F.array_distinct(F.concat(of("entity tag"), prefixed("person:bible", of("bible_names")), prefixed("place:bible", of("bible_places", "bible_nations")))))
+    rows = rows.withColumn("concepts", prefixed("concept", of("concepts")))
+    drop = F.concat(prefixed("person", of("bible_names")), prefixed("place", of("bible_places", "bible_nations")))
+    named = F.concat("base", unless_named(of("names"), F.col("base"), "person"), unless_named(of("toponyms"), F.col("base"), "place"), "concepts")
+    keeping = F.array_contains("concepts", "concept:shabbat") | F.array_contains("base", "concept:shabbat")
+    by_phrase = F.filter(of("phrase tag"), lambda t: ~(keeping & (t == "topic:shabbat")))
+    tags = F.array_sort(F.array_distinct(F.concat(F.array_except(named, drop), by_phrase, of("topic tag"))))
+    return docs.select(key).join(rows.select(key, tags.alias("tags")), key, "left").select(key, F.coalesce("tags", F.expr(text.NO_STRINGS)).alias("tags"))
 
 
 def page_lookup(tags: DataFrame, page: str) -> DataFrame:
