@@ -2,7 +2,7 @@
 
 Every document starts with a fractional expected number of copies; whole copies are taken, the fraction is an
 inclusion probability. The flight phase moves probabilities along directions that keep both balances - words and
-documents - until each task's lot has at most two fractions left; leftovers are flown again together, and the few of
+documents - until each task's lot has at most about LAST fractions left; leftovers are flown again together, and the few of
 a source that remain are landed by the choice nearest to both balances.
 """
 
@@ -86,10 +86,9 @@ def lot_flight(land: bool):
         lot = lot.sort_values(["place", "doc_id", "size"], kind="stable", ignore_index=True)
         sizes, p = lot["size"].to_numpy(float), lot["p"].to_numpy(float).copy()
         rng = random.Random(int(lot["place"].iloc[0]) ^ len(lot))
-        fly = np.arange(len(lot))
-        if land:  # documents of all sizes stay for the landing, so that it can come near
-            stay = np.argsort(sizes, kind="stable")[np.unique(np.linspace(0, len(lot) - 1, LAST - 2).astype(int))]
-            fly = np.setdiff1d(fly, stay)
+        # Documents of all sizes stay for the landing, so that it can come near.
+        stay = np.argsort(sizes, kind="stable")[np.unique(np.linspace(0, len(lot) - 1, LAST - 2).astype(int))]
+        fly = np.setdiff1d(np.arange(len(lot)), stay)
         flown = p[fly].tolist()
         flight(sizes[fly].tolist(), flown, rng)
         p[fly] = flown
@@ -105,7 +104,7 @@ def lot_of(run):
     return lambda lot: run(lot.drop(columns="lot"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, lot: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, lot: int = 2_000) -> DataFrame:
     """doc_id, size (words), source_size, target (its source's) and taken (words the mix takes, repeats counted) of each row.
 
     Null text has size 0 and null source is a source of its own; rows that repeat a document are taken one by one.
