@@ -109,8 +109,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     Null text has size 0 and null source is a source of its own; rows that repeat a document are taken one by one.
     Lots are formed by a hash of doc_id and size, so that reruns agree; a source with more documents has more lots,
-    and none meets in one task. Other columns are ignored.
+    and none meets in one task. A lot holds 10 * LAST documents at least. Other columns are ignored.
     """
+    if lot < 10 * LAST:
+        raise ValueError(f"lot must be {10 * LAST} at least: each leaves about {LAST} documents to the next flight")
     spark = docs.sparkSession
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
