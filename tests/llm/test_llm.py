@@ -173,6 +173,8 @@ def test_mixing(spark, docs, rows, none):
     many = spark.range(30_000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 50 as int)) as text", "if(id % 3 = 0, 'a', 'b') as source")
     by = mixing.mix_sources(many, lot=3_000).groupBy("source_size").agg({"target": "first", "taken": "sum"}).collect()
     assert all(abs(r["first(target)"] - r["sum(taken)"]) < 100 for r in by)
+    with pytest.raises(ValueError, match="lot"):
+        mixing.mix_sources(many, lot=10)
 
 
 def test_decontaminate(spark, docs, rows, none):
