@@ -29,8 +29,9 @@ SEED = 42
 LEVELS = 4  # of nodes below the kept blocks
 PAIRS = 1 << 20  # node pairs compared at once
 WIDE, WIDE_PAIRS, FAN = 16, 1 << 16, 8  # words of a wide fingerprint; its node pairs compared at once; nodes below a node
-BANDS, ROWS = 24, 6  # at similarity 0.8, all bands differ for 7 in 10,000 pairs
-SLACK = 2.3  # standard deviations of the differing bits allowed for: 1 in 100 pairs at the similarity itself is missed
+BANDS, ROWS = 40, 6  # at similarity 0.8, all bands differ for 5 in a million pairs
+SLACK = 5.0  # standard deviations of the differing bits allowed for in candidates; the sets themselves decide
+SMALL, LOOSE = 20, 255  # shingles of sets that are also dealt by the start of their sorted hashes; bits in which such may differ: 192 on average for 4 in 5, 12.5 the deviation
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -281,7 +282,31 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def describing(words: int):
+def least_share(n: int, similarity: float) -> int:
+    """The fewest of n shingles that a set of this similarity or more has too."""
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
+
+
+def small_keys(hashes: np.ndarray, similarity: float) -> list[int]:
+    """Keys of a small set, of which sets of this similarity or more share one: the least hashes, but for as many as they must share."""
+    n = len(hashes)
+    return [xxhash.xxh64_intdigest(x.tobytes(), BANDS) - 2**63 for x in hashes[: n - least_share(n, similarity) + 1]] if 0 < n <= SMALL else []
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets of sorted hashes is at least this."""
+    n, m = len(a), len(b)
+    if min(n, m) < similarity * max(n, m) - 1e-9:
+        return False
+    if not max(n, m):
+        return True
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # two sorted runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (n + m - common) - 1e-9
+
+
+def describing(words: int, similarity: float):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("own", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -291,23 +316,40 @@ def describing(words: int):
                 hashes = shingle_hashes(text, words)
                 own.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63)
                 fps.append(wide_fingerprint(hashes).tobytes())
-                bands.append(band_keys(hashes))
+                bands.append([k & ~1 for k in band_keys(hashes)] + [k | 1 for k in small_keys(hashes, similarity)])
             if own:
                 yield batch(schema, b.column("id"), b.column("th"), own, fps, bands)
 
     return run
 
 
-def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest: Forest, distance: int) -> None:
-    """Joins entries of one bucket whose codes (rows of 64-bit words) differ in at most ``distance`` bits.
+def checked(forest: Forest, same):
+    """Like the forest's join(), for pairs of which same(a, b) holds; those already connected aren't looked at."""
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        at, size = 0, 64
+        while at < len(a):
+            x, y = a[at : at + size], b[at : at + size]
+            at, size = at + size, min(2 * size, 4_096)
+            apart = forest.label[x] != forest.label[y]
+            x, y = x[apart], y[apart]
+            go = np.fromiter(map(same, x.tolist(), y.tolist()), bool, len(x))
+            forest.join(x[go], y[go])
+
+    return join
+
+
+def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest: Forest, distance, same=None) -> None:
+    """Joins entries of one bucket whose codes (rows of 64-bit words) differ in at most ``distance`` bits (one number, or one for each row's bucket) and, with ``same``, for which that holds too.
 
     In Gray order, nodes stand for up to FAN nodes below and hold the bits that all of those have set, or unset. Bits
     set in one node and unset in another differ for all pairs below, so too many of them drop both groups whole.
     """
     order = np.lexsort((gray_rank(code[:, 0]), bucket))
-    code, bucket, entry = code[order], bucket[order], entry[order]
-    near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1, dtype=np.int64) <= distance))
-    forest.join(entry[near], entry[near + 1])
+    code, bucket, entry, limit = code[order], bucket[order], entry[order], np.broadcast_to(distance, len(code))[order]
+    join = forest.join if same is None else checked(forest, same)
+    near = np.flatnonzero((bucket[1:] == bucket[:-1]) & (np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1, dtype=np.int64) <= limit[1:]))
+    join(entry[near], entry[near + 1])
     starts, child = [np.arange(len(code))], []  # rows at which nodes start, from the leaves up; children's bounds
     while True:
         owner = bucket[starts[-1]]
@@ -326,7 +368,7 @@ def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest
     while stack:
         level, u, v = stack.pop()
         if level == 0:
-            forest.join(entry[u], entry[v])
+            join(entry[u], entry[v])
             continue
         label = forest.label[entry]
         low, high = np.minimum.reduceat(label, starts[level]), np.maximum.reduceat(label, starts[level])
@@ -345,7 +387,7 @@ def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest
             go = (u[pair] != v[pair]) | ((a < b) if level == 1 else (a <= b))
             a, b = a[go], b[go]
             differ = (ones[level - 1][a] & zeros[level - 1][b]) | (zeros[level - 1][a] & ones[level - 1][b])
-            go = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= distance
+            go = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= limit[starts[level - 1][a]]
             if go.any():
                 stack.append((level - 1, a[go], b[go]))
             at = end
@@ -362,7 +404,31 @@ def linking_wide(distance: int):
         code = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(-1, WIDE)
         name, entry = np.unique(own, return_inverse=True)
         forest = Forest(len(name))
-        connect_wide(code, band, entry, forest, distance)
+        connect_wide(code, band, entry, forest, np.where(band & 1, LOOSE, distance))
+        moved = np.flatnonzero(forest.label != np.arange(len(name)))
+        for at in range(0, len(moved), 100_000):
+            m = moved[at : at + 100_000]
+            yield batch(schema, name[m], name[forest.label[m]])
+
+    return run
+
+
+def verifying(words: int, similarity: float, distance: int):
+    """Links within each candidate group (column root; all its texts are in one task) by the sets themselves."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        roots, sets = {}, {}
+        for b in batches:
+            for own, root, text in zip(b.column("own").to_pylist(), b.column("root").to_pylist(), byte_lists(b.column("text")), strict=True):
+                if own not in roots:
+                    roots[own], sets[own] = root, shingle_hashes(text, words)
+        if not roots:
+            return
+        name = np.array(sorted(roots), np.int64)
+        hashes = [sets[x] for x in name.tolist()]
+        code, forest = np.array([wide_fingerprint(x) for x in hashes]), Forest(len(name))
+        connect_wide(code, np.array([roots[x] for x in name.tolist()]), np.arange(len(name)), forest, distance, lambda i, j: alike(hashes[i], hashes[j], similarity))
         moved = np.flatnonzero(forest.label != np.arange(len(name)))
         for at in range(0, len(moved), 100_000):
             m = moved[at : at + 100_000]
@@ -374,22 +440,27 @@ def linking_wide(distance: int):
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, th (see keyed()), first_id and first_th of each row: the smallest of its group of near-duplicates.
 
-    Texts of equal shingle sets are linked, and so are texts whose wide fingerprints differ in no more bits than sets
-    of this Jaccard similarity do, with allowance for chance. Two sets of cosine c differ in a bit with the chance
-    arccos(c) / pi, and c is at least 2 s / (1 + s). At 0.8 that is 15 in 100 bits, too many to deal fingerprints by
-    whole bit blocks, so they are dealt by bands of smallest shingle hashes and linked within a band in Gray order.
+    Texts are linked if their shingle sets have this Jaccard similarity or more. Candidates are texts whose wide
+    fingerprints differ in no more bits than such sets do, with allowance for chance. Two sets of cosine c differ in a
+    bit with the chance arccos(c) / pi, and c is at least 2 s / (1 + s). At 0.8 that is 15 in 100 bits, too many to deal
+    fingerprints by whole bit blocks, so they are dealt by bands of smallest shingle hashes and compared within a band in
+    Gray order. Each component of candidates then meets in one task, where only pairs whose sets are similar are joined.
     Texts without words, null ones too, are one group. Other columns are ignored.
     """
     spark = docs.sparkSession
     chance = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     distance = int(64 * WIDE * chance + SLACK * (64 * WIDE * chance * (1 - chance)) ** 0.5)
-    rows = cut(keyed(docs).mapInArrow(describing(words), "id long, th long, own long, fp binary, bands array<long>"))
+    rows = cut(keyed(docs).mapInArrow(describing(words, similarity), "id long, th long, own long, fp binary, bands array<long>"))
     least = F.min(F.struct("id", "th")).alias("least")
     sets = cut(rows.groupBy("own").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     bands = sets.select("own", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     dealt = bands.join(shared, "band").join(sets.select("own", "fp"), "own").repartition(shuffle_partitions(spark), "band")
     edges = dealt.select("band", "own", "fp").mapInArrow(linking_wide(distance), "a long, b long")
+    near = connected_components(edges).select(F.col("node").alias("own"), F.col("component").alias("root"))
+    near = sets.select("own", "least.id", "least.th").join(near, "own")
+    near = keyed(docs).join(near, ["id", "th"]).select("own", "root", "text").repartition(shuffle_partitions(spark), "root")
+    edges = near.mapInArrow(verifying(words, similarity, max(distance, LOOSE)), "a long, b long")
     root = connected_components(edges).select(F.col("node").alias("own"), F.col("component").alias("root"))
     named = cut(sets.select("own", "least").join(root, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("first"))

@@ -121,6 +121,33 @@ def test_similar_groups(spark, docs, rows, none):
     assert sorted(r.doc_id for r in kept) == [0, *(k for k in range(3_000) if k % 3)]
 
 
+def test_similar_groups_are_exact(spark):
+    """Groups are the components of true Jaccard similarity, for dense families just below 0.8 and for small nested sets."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    made = []
+    for _ in range(40):
+        own = text(rng.randrange(80, 300))
+        made.append(" ".join(own))
+        for _ in range(4):  # similarities of 0.6 to 0.95
+            edited, at = list(own), rng.randrange(len(own) // 2)
+            size = int(len(own) * rng.uniform(0.02, 0.22))
+            edited[at : at + size] = text(size)
+            made.append(" ".join(edited))
+    for _ in range(60):
+        own = text(9)
+        made += [" ".join(own), " ".join(own[:8])]  # 4 shingles of 5
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in made]
+    root = list(range(len(made)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in combinations(range(len(made)), 2):
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    got = {r.id: r.first_id for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: find(k) for k in range(len(made))}
+
+
 def test_wide_index_finds_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (60, simhash.WIDE), dtype=np.uint64)
