@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -70,9 +72,20 @@ def entity(kind: int, found: str) -> str:
     return f"{KINDS[kind]}:{found.lower() if kind == 0 else NOT_DIGIT.sub('.' if kind == 1 else '', found)}"
 
 
+def outside(spans: list[tuple[int, int, int]]):
+    """Whether a match overlaps none of the sorted spans."""
+    starts, ends = [a for a, _, _ in spans], list(accumulate((z for _, _, z in spans), max))
+
+    def free(m: re.Match) -> bool:
+        k = bisect_left(starts, m.end())
+        return not k or ends[k - 1] <= m.start()
+
+    return free
+
+
 def beside(text: str, spans: list[tuple[int, int, int]], reach: int, near: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the ``near`` terms on either side of each span that begin within ``reach`` characters of it, outside all spans."""
-    out, taken = [], [(a, z) for a, _, z in spans]
+    out, free = [], outside(spans)
     for a, kind, z in spans:
         left = [m for m in TERM.finditer(text, max(0, a - reach), a)]
         if left and left[0].start() == max(0, a - reach) > 0:
@@ -83,7 +96,7 @@ def beside(text: str, spans: list[tuple[int, int, int]], reach: int, near: int)
                 break
             right.append(m)
         for m in left[-near:] + right:
-            if not any(s < m.end() and m.start() < e for s, e in taken[:64]):
+            if free(m):
                 out.append((entity(kind, text[a:z]), m.group().lower(), m.start(), m.end()))
     return out
 

@@ -302,6 +302,14 @@ def test_pii(spark, docs, rows, none):
     assert pii.base_spans("a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 x 4111 1111 1111 1111 +1 (017) 555-7713") == [(0, 0, 5), (5, 0, 11), (12, 1, 19), (20, 1, 27), (40, 2, 59), (60, 3, 77)]
 
 
+def test_pii_many_spans(spark):
+    """No term lies within a base span, in documents of more than 64 too."""
+    text = "list " + " ".join(f"person{k:03}x.smithers@company.example" for k in range(90))
+    got = pii.personal_data(spark.createDataFrame([(k, text + f" {k}" if k < 2 else "plain words") for k in range(30)], "doc_id long, text string")).where("id < 2").collect()
+    for r in got:
+        assert len(r.spans) == 90 and not [t for t in r.terms for s in r.spans if t.start < s.end and s.start < t.end]
+
+
 def test_language(spark, docs, rows, none):
     made = [(k, ("the and of with that is " if k % 2 else "le la des que pour ètré ") * 9, "en" if k % 2 else "fr") for k in range(300)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
