@@ -1,4 +1,4 @@
-"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms beside them.
+"""Personal data: fixed patterns, and information-theoretic sanitisation of the terms that disclose them.
 
 Corpus counts tell how strongly a term reveals a protected entity (an address, a number). With document
 frequencies, the pointwise mutual information of term and entity over the entity's own information content is
@@ -14,8 +14,10 @@ from bisect import bisect_left
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,42 +85,61 @@ def outside(spans: list[tuple[int, int, int]]):
     return free
 
 
-def beside(text: str, spans: list[tuple[int, int, int]], reach: int, near: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the ``near`` terms on either side of each span that begin within ``reach`` characters of it, outside all spans."""
-    out, free = [], outside(spans)
-    for a, kind, z in spans:
-        left = [m for m in TERM.finditer(text, max(0, a - reach), a)]
-        if left and left[0].start() == max(0, a - reach) > 0:
-            left = left[1:]  # it may have begun before
-        right = []
-        for m in TERM.finditer(text, z, min(len(text), z + reach + 64)):
-            if m.start() > z + reach or len(right) == near:
-                break
-            right.append(m)
-        for m in left[-near:] + right:
-            if free(m):
-                out.append((entity(kind, text[a:z]), m.group().lower(), m.start(), m.end()))
-    return out
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """Distinct terms that stand outside all spans."""
+    if not spans:
+        return {t.lower() for t in set(TERM.findall(text))}
+    free = outside(spans)
+    return {m.group().lower() for m in TERM.finditer(text) if free(m)}
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
+SPANS_SQL = "array<struct<start: long, kind: long, end: long>>"
+FOUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("spans", SPANS), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
+FOUND_SQL = f"id long, th long, spans {SPANS_SQL}, entities array<string>, terms array<string>"
+
 
+def finding(batches):
+    """Base spans, and the distinct entities and terms of texts that have any."""
+    for b in batches:
+        rows = []
+        for i, th, text in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
+            spans = base_spans(text)
+            entities = {entity(kind, text[a:z]) for a, kind, z in spans}
+            rows.append((i, th, [dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans], list(entities), list(terms_of(text, spans)) if spans else []))
+        if rows:
+            yield batch(FOUND, *zip(*rows, strict=True))
 
-FOUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))), ("beside", pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
-FOUND_SQL = "id long, th long, spans array<struct<start: long, kind: long, end: long>>, beside array<struct<entity: string, term: string, start: long, end: long>>"
 
+MARKED = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+
+def marking(sieve: bytes):
+    """Places of terms that pass the sieve, outside base spans; see sieve_of()."""
+    mask = len(sieve) - 1
 
-def finding(reach: int, near: int):
     def run(batches):
         for b in batches:
             rows = []
             for i, th, text in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), strict=True):
-                spans = base_spans(text)
-                by = beside(text, spans, reach, near) if spans else []
-                rows.append((i, th, [dict(zip(("start", "kind", "end"), s, strict=True)) for s in spans], [dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in by]))
-            if rows:
-                yield batch(FOUND, *zip(*rows, strict=True))
+                strong = {t for t in set(TERM.findall(text)) if sieve[xxhash.xxh64_intdigest(t.lower().encode(), 42) & mask]}
+                if strong:
+                    free = outside(base_spans(text))
+                    rows += [(i, th, m.group().lower(), m.start(), m.end()) for m in TERM.finditer(text) if m.group() in strong and free(m)]
+            for at in range(0, len(rows), 50_000):
+                yield batch(MARKED, *zip(*rows[at : at + 50_000], strict=True))
 
     return run
 
 
+def sieve_of(terms: DataFrame) -> bytes:
+    """A table, 16 to 32 times as long as there are terms, that is 1 at the hash of each; others that pass are dropped by a join."""
+    hashes = np.array([r[0] for r in terms.select(F.xxhash64("term")).toLocalIterator()], np.int64)
+    table = np.zeros(1 << max(10, (16 * len(hashes)).bit_length()), np.uint8)
+    table[hashes & (len(table) - 1)] = 1
+    return table.tobytes()
+
+
 def counting(batches):
     """Document frequencies of terms, summed before they are sent."""
     schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
@@ -131,7 +152,7 @@ def counting(batches):
 
     for b in batches:
         for text in b.column("text").to_pylist():
-            counts.update(set(TERM.findall(text.lower())))
+            counts.update(terms_of(text, base_spans(text)))
             if len(counts) > 500_000:
                 yield from send()
                 counts.clear()
@@ -139,31 +160,39 @@ def counting(batches):
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, documents_least: int) -> DataFrame:
-    """entity, term and disclosure of the pairs at or above the threshold, both counted over all documents."""
-    n_docs = texts.count()
-    pair = found.select("id", "th", F.explode("beside").alias("b")).select("id", "th", "b.entity", "b.term").distinct()
-    both = pair.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= documents_least)
-    entities = pair.select("id", "th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = texts.select("text").mapInArrow(counting, "term string, n long").join(both.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
-    joined = both.join(entities, "entity").join(terms, "term")
-    content = F.log(F.lit(float(max(n_docs, 2))) / F.col("n_entity"))
+    """entity, term and disclosure of the pairs at or above the threshold, all counted over whole documents.
+
+    A pair is met no more often than its entity, so a term more frequent than that allows at the threshold is dropped
+    before pairs are made.
+    """
+    n_docs = float(max(texts.count(), 2))
+    own = found.where(F.size("entities") > 0).dropDuplicates(["id", "th"])
+    held = own.select("id", "th", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= documents_least)
+    met = own.select("id", "th", F.explode("terms").alias("term"))
+    terms = texts.select("text").mapInArrow(counting, "term string, n long").join(met.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= documents_least)
+    pair = held.join(entities, "entity").join(met.join(terms, "term"), ["id", "th"])
+    pair = pair.where(F.col("n_term") <= F.col("n_entity") * F.pow(n_docs / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9))
+    both = pair.groupBy("entity", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= documents_least)
+    content = F.log(F.lit(n_docs) / F.col("n_entity"))
     disclosure = F.when(content <= 0, F.lit(0.0)).otherwise(1 + F.log(F.col("n_both") / F.greatest("n_both", "n_term")) / content)
-    return joined.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return both.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def personal_data(docs: DataFrame, reach: int = 60, near: int = 4, generalise: float = 0.8, remove: float = 0.95, documents_least: int = 2) -> DataFrame:
+def personal_data(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, documents_least: int = 2) -> DataFrame:
     """id, th, spans (base: start, kind, end) and terms (start, end, disclosure) of each row; see keyed() for id and th.
 
-    Null text is empty. Documents without base spans get no terms. Rows that repeat a document each get its result
-    and are counted once. Other columns are ignored.
+    A term that discloses any entity is named wherever it stands outside base spans, in documents without such too,
+    with its highest disclosure. Null text is empty. Rows that repeat a document each get its result. Other columns are
+    ignored.
     """
     texts = keyed(docs)
-    found = cut(texts.mapInArrow(finding(reach, near), FOUND_SQL))
-    strong = disclosing_terms(found.where(F.size("beside") > 0), texts, generalise, documents_least)
-    terms = found.select("id", "th", F.explode("beside").alias("b")).select("id", "th", "b.*").join(strong, ["entity", "term"])
-    terms = terms.groupBy("id", "th", "start", "end").agg(F.max("disclosure").alias("disclosure")).groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    found = cut(texts.mapInArrow(finding, FOUND_SQL))
+    strong = cut(disclosing_terms(found, texts, generalise, documents_least).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    marked = texts.mapInArrow(marking(sieve_of(strong)), "id long, th long, term string, start long, end long")
+    terms = marked.join(strong, "term").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
-    return found.join(terms, ["id", "th"], "left").select("id", "th", "spans", F.coalesce("terms", none).alias("terms"))
+    return found.select("id", "th", "spans").join(terms, ["id", "th"], "left").select("id", "th", "spans", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitise(docs: DataFrame, remove: float = 0.95, **options) -> DataFrame:

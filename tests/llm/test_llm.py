@@ -302,6 +302,14 @@ def test_pii(spark, docs, rows, none):
     assert pii.base_spans("a@b.c_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 x 4111 1111 1111 1111 +1 (017) 555-7713") == [(0, 0, 5), (5, 0, 11), (12, 1, 19), (20, 1, 27), (40, 2, 59), (60, 3, 77)]
 
 
+def test_pii_terms_anywhere(spark):
+    """Terms count and are marked far from the span, beyond the nearest four, and in documents without one."""
+    far = "common filler words only here " * 20
+    made = [(k, f"Zorblatt {far} mail a.b@c.de now" if k < 6 else "common words") for k in range(200)] + [(200, "met zorblatt again")]
+    got = {r.id: [made[r.id][1][t.start : t.end] for t in r.terms] for r in pii.personal_data(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert "Zorblatt" in got[0] and got[200] == ["zorblatt"] and got[50] == []
+
+
 def test_pii_many_spans(spark):
     """No term lies within a base span, in documents of more than 64 too."""
     text = "list " + " ".join(f"person{k:03}x.smithers@company.example" for k in range(90))
