@@ -11,7 +11,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +19,14 @@ from .common import batch, byte_lists, documents
 
 WINDOW, LOT = 256, 96  # bytes in a window; windows computed at once
 DIMENSIONS, FILTERS, WIDTHS = 8, 8, (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+NEARLY = re.compile(r"[^\W\d_]")  # letters, and signs such as a half or a square
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in NEARLY.finditer(text))
+
+
 @dataclass
 class Network:
     languages: list[str]
@@ -125,18 +128,19 @@ def learn(docs: DataFrame, sampled: int = 4_000, piece: int = 300) -> Network |
     The bound keeps training on the driver the same size whatever the corpus; prediction covers everything.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    mark = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(17)), F.lit(1_000_000))
+    grain = 2**53
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(grain))  # with the text: null doc_ids differ in it
     share = sampled / max(1, usable.count())
-    start = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), F.greatest(F.length("text") - piece, F.lit(1))) + 1
-    rows = usable.where(mark < share * 1_000_000).select(F.substring("text", start.cast("int"), F.lit(piece)).alias("t"), "lang").collect()
-    rows = sorted((r.t.encode(), r.lang) for r in rows if LETTER.search(r.t))
+    start = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.length("text") - piece, F.lit(1))) + 1
+    rows = usable.where(mark < int(min(1.0, share) * grain)).select(F.substring("text", start.cast("int"), F.lit(piece)).alias("t"), "lang").collect()
+    rows = sorted((r.t.encode(), r.lang) for r in rows if has_letter(r.t))
     return train([t for t, _ in rows], [lang for _, lang in rows]) if rows else None
 
 
 def predict(net: Network | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    good = [k for k, t in enumerate(texts) if net is not None and LETTER.search(t.decode())]
+    good = [k for k, t in enumerate(texts) if net is not None and has_letter(t.decode())]
     for at in range(0, len(good), 200):
         part = good[at : at + 200]
         windows, owner, size = cut_windows([texts[k] for k in part])
@@ -169,13 +173,20 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def known_language(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs without those whose language the network can't tell ("und": null text, no letter). Columns stay."""
+    """docs without those whose language the network can't tell ("und": null or empty text, no letter).
+
+    All other rows stay as they are, repeated ones too, and so do all columns, whatever their names; nothing is shuffled.
+    Whole rows pass through Python as Arrow batches, taken some rows at a time.
+    """
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        return pd.Series(predict(net, [(t or "").encode() for t in texts])[0], dtype=object)
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                known = [x != UNKNOWN for x in predict(net, byte_lists(part.column("text")))[0]]
+                yield part.filter(pa.array(known, pa.bool_()))
 
-    return docs.where(language("text") != UNKNOWN)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
