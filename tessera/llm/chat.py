@@ -97,13 +97,13 @@ def chat_format(rows: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def read_back(formatted: Column, template: Template = Template()) -> Column:
-    """The turns (role, text) that a formatted conversation holds."""
+    """The turns (role, text) that a formatted conversation holds, whatever line breaks and marks their roles and texts have."""
     ends = "|".join(re.escape(m) for m in sorted({*(t.after for t in template.roles.values()), template.other_after}))
     parts = F.filter(F.split(formatted, ends, -1), lambda p: p != "")
     opening, closing = (re.escape(x) for x in template.other_before)
 
     def turn(part: Column) -> Column:
-        role = unescaped(F.regexp_extract(part, f"^{opening}(.*?){closing}", 1), template)
+        role = unescaped(F.regexp_extract(part, f"(?s)^{opening}(.*?){closing}", 1), template)
         body = F.regexp_replace(part, f"(?s)^{opening}.*?{closing}", "")
         for name, t in template.roles.items():
             role = F.when(part.startswith(t.before), F.lit(name)).otherwise(role)
