@@ -185,17 +185,17 @@ def packed(s: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> bytes:
     used, doc = np.unique(s["doc"], return_inverse=True)
     head = np.array([len(s), len(used)], "<u8").tobytes()
     columns = (s["lead"], s["rest"], s["span"], doc.astype("<u2" if len(used) <= 1 << 16 else "<u4"), s["pos"], s["lo"], s["hi"])
-    return b"".join([head, ids[used].tobytes(), ths[used].astype("<i4").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in columns)])
+    return b"".join([head, ids[used].tobytes(), ths[used].tobytes(), *(np.ascontiguousarray(x).tobytes() for x in columns)])
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, d = (int(x) for x in np.frombuffer(blob, "<u8", 2))
-    at, out = 16 + 12 * d, np.empty(n, SUFFIX)
+    at, out = 16 + 16 * d, np.empty(n, SUFFIX)
     for name in SUFFIX.names:
         kind = SUFFIX[name] if name != "doc" else np.dtype("<u2" if d <= 1 << 16 else "<u4")
         out[name] = np.frombuffer(blob, kind, n, at)
         at += n * kind.itemsize
-    return out, np.frombuffer(blob, "<i8", d, 16), np.frombuffer(blob, "<i4", d, 16 + 8 * d).astype(np.int64)
+    return out, np.frombuffer(blob, "<i8", d, 16), np.frombuffer(blob, "<i8", d, 16 + 8 * d)
 
 
 def keys(s: np.ndarray) -> np.ndarray:
@@ -375,7 +375,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, sampled: int = 5_000, keep_
     """
     if not 2 * LEAD < length <= LEAD + 255:
         raise ValueError(f"length must lie in {2 * LEAD + 1}..{LEAD + 255}")
-    spark, rows = docs.sparkSession, keyed(docs).withColumn("th", F.hash("text").cast("long"))
+    spark, rows = docs.sparkSession, keyed(docs)
     n = shuffle_partitions(spark)
 
     def sample(batches):
