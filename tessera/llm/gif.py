@@ -9,6 +9,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,99 +19,121 @@ from pyspark.sql import functions as F
 from .common import batch, byte_lists, documents
 
 WIDTH, ROWS, DELAY = 64, 1024, 10  # DELAY: hundredths of a second
+MOST = 1 << 26  # pixels of a canvas or a frame
 GREY = bytes(c for g in range(256) for c in (g, g, g))
 
 
-def lzw_codes(data: bytes, root: int) -> tuple[list[int], list[int]]:
-    """LZW codes and their widths, from a clear code to the end code; the table is cleared when it is full."""
-    clear, end = 1 << root, (1 << root) + 1
-    codes, widths = [clear], [root + 1]
-    table: dict[int, int] = {}
-    free, width, prefix = end + 1, root + 1, -1
-    find, add, mark = table.get, codes.append, widths.append
-    for c in data:
-        if prefix < 0:
+def lzw_codes(data: bytes, root: int) -> list[int]:
+    """LZW codes, from a clear code to the end code; the table is cleared when it is full."""
+    clear = 1 << root
+    codes = [clear]
+    if data:
+        table: dict[int, int] = {}
+        free, prefix = clear + 2, data[0]
+        find, add = table.get, codes.append
+        for c in memoryview(data)[1:]:
+            key = prefix << 8 | c
+            code = find(key)
+            if code is not None:
+                prefix = code
+                continue
+            add(prefix)
             prefix = c
-            continue
-        key = prefix << 8 | c
-        code = find(key)
-        if code is not None:
-            prefix = code
-            continue
-        add(prefix)
-        mark(width)
-        prefix = c
-        if free == 4096:
-            add(clear)
-            mark(width)
-            table.clear()
-            free, width = end + 1, root + 1
-        else:
-            table[key] = free
-            if free >> width:
-                width += 1
-            free += 1
-    if prefix >= 0:
+            if free < 4096:
+                table[key] = free
+                free += 1
+            else:
+                add(clear)
+                table.clear()
+                free = clear + 2
         add(prefix)
-        mark(width)
-        if free < 4096 and free >> width:
-            width += 1
-    add(end)
-    mark(width)
-    return codes, widths
+    codes.append(clear + 1)
+    return codes
+
+
+def widths_of(k: np.ndarray, root: int) -> np.ndarray:
+    """Bits of the k-th code (from 0) after a clear code: as many as the table, that has by then grown to first + k - 1 entries, asks for."""
+    return np.clip(np.frexp((1 << root) + 1 + np.maximum(k, 1))[1], root + 1, 12)
+
+
+@cache
+def schedule(root: int, full: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of 4096 codes, and the bits before each: after a clear code, or once the table is full."""
+    widths = np.full(4096, 12) if full else widths_of(np.arange(4096), root)
+    return widths, np.cumsum(widths) - widths
 
 
 def lzw_encode(data: bytes, root: int = 8) -> bytes:
-    codes, widths = (np.array(x, np.int64) for x in lzw_codes(data, root))
-    bits = ((codes[:, None] >> np.arange(12)) & 1).astype(np.uint8)
-    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
+    codes = np.array(lzw_codes(data, root), np.int64)
+    place = np.arange(len(codes))
+    cleared = np.maximum.accumulate(np.where(codes == 1 << root, place, -1))
+    widths = widths_of(place - np.append(-1, cleared[:-1]) - 1, root)
+    end = np.cumsum(widths)
+    at = end - widths
+    value, byte = codes << (at & 7), at >> 3
+    packed = np.bincount(np.concatenate([byte, byte + 1, byte + 2]), weights=np.concatenate([value & 255, value >> 8 & 255, value >> 16]))  # bits don't overlap: sums are unions
+    return packed[: -(-int(end[-1]) // 8)].astype(np.uint8).tobytes()
+
+
+def expanded(codes: np.ndarray, root: int, most: int) -> np.ndarray:
+    """Samples of the codes between two clear codes, at most ``most``.
+
+    Entry k of the table is what the k-th code stands for and one sample more, as they stand in the output. So a code's
+    length is its entry's code's and one, and each of its samples is a sample further up: both are followed by doubling.
+    """
+    first = (1 << root) + 2
+    literal = codes < first
+    entry = np.where(literal, np.arange(len(codes)), codes - first)
+    if not literal[0] or (codes[literal] >= first - 2).any() or (entry[~literal] >= np.flatnonzero(~literal)).any():
+        raise ValueError("broken code stream")
+    length, up = np.where(literal, 0, 1), entry
+    while length[up].any():
+        length = length + length[up]
+        up = up[up]
+    end = np.cumsum(length + 1)
+    n = int(np.searchsorted(end, most)) + 1
+    codes, literal, entry, length, end = codes[:n], literal[:n], entry[:n], length[:n] + 1, end[:n]
+    start = end - length
+    total = int(end[-1])
+    source = np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)
+    source += np.repeat((start[entry] - start).astype(source.dtype), length)
+    while True:
+        further = source.take(source)
+        if np.array_equal(further, source):
+            break
+        source = further
+    samples = np.zeros(total, np.uint8)
+    samples[start[literal]] = codes[literal]
+    return samples[source][:most]
 
 
 def lzw_decode(stream: bytes, root: int, most: int) -> bytes:
-    """At most ``most`` samples of a code stream; a broken or short stream gives what it holds."""
+    """At most ``most`` samples of a code stream; a short one gives what it holds, a broken one raises ValueError."""
     clear, end = 1 << root, (1 << root) + 1
-    roots = [bytes([c]) for c in range(clear)] + [b"", b""]
-    table, last, out, size = roots[:], b"", [], 0
-    width, full = root + 1, 1 << (root + 1)
-    held = bits = 0
-    at, n = 0, len(stream)
-    add, grow = out.append, table.append
-    while size < most:
-        if bits < width:
-            if at >= n:
-                break
-            held |= int.from_bytes(stream[at : at + 6], "little") << bits
-            bits += 8 * min(6, n - at)
-            at += 6
-            if bits < width:
-                break
-        code = held & (full - 1)
-        held >>= width
-        bits -= width
-        known = len(table)
-        if code == clear:
-            table, last = roots[:], b""
-            grow = table.append
-            width, full = root + 1, 1 << (root + 1)
-            continue
-        if code == end:
-            break
-        if code < known:
-            entry = table[code]
-            if last and known < 4096:
-                grow(last + entry[:1])
-        elif code == known and last:
-            entry = last + last[:1]
-            grow(entry)
+    raw, bits = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64), 8 * len(stream)
+    out, size, at = [], 0, 0
+    held: list[np.ndarray] = []  # codes since the last clear code
+    k, ended = 0, False
+    while not ended and size < most:
+        widths, begin = schedule(root, k > 0)
+        there = int(np.searchsorted(begin + widths, bits - at, side="right"))
+        begin, widths = begin[:there] + at, widths[:there]
+        byte = begin >> 3
+        codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (begin & 7) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stops[0]) if len(stops) else len(codes)
+        held.append(codes[:n])
+        if len(stops) or there < 4096:
+            ended = not len(stops) or codes[n] == end
+            own = np.concatenate(held)
+            if len(own):
+                out.append(expanded(own, root, most - size))
+                size += len(out[-1])
+            held, k = [], 0
+            at = int(begin[n] + widths[n]) if len(stops) else at
         else:
-            break
-        add(entry)
-        size += len(entry)
-        last = entry
-        if len(table) == full and width < 12:
-            width += 1
-            full <<= 1
-    return b"".join(out)[:most]
+            k, at = k + 4096, int(begin[-1] + widths[-1])
+    return b"".join(x.tobytes() for x in out)
 
 
 @dataclass
@@ -157,11 +180,16 @@ def read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode_frames(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width and height, and the frames as stored. Interlaced rows are put in order. Raises ValueError on what is no GIF."""
+def decode_frames(data: bytes, most: int = MOST) -> tuple[int, int, list[Frame]]:
+    """Canvas width and height, and the frames as stored. Interlaced rows are put in order.
+
+    Raises ValueError on what is no GIF, is cut short, or has more than ``most`` pixels in its canvas or in a frame.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > most:
+        raise ValueError(f"a canvas of {width} x {height} is too large")
     at, shared = 13, b"\0" * 6
     if flags & 0x80:
         shared = data[13 : 13 + (6 << (flags & 7))]
@@ -182,8 +210,13 @@ def decode_frames(data: bytes) -> tuple[int, int, list[Frame]]:
                 palette = data[at : at + (6 << (flags & 7))]
                 at += len(palette)
             root = data[at]
+            if w * h > most or not 2 <= root <= 8:
+                raise ValueError(f"a frame of {w} x {h} at {root} bits can't be read")
             stream, at = read_blocks(data, at + 1)
-            samples = np.frombuffer(lzw_decode(stream, root, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+            samples = np.frombuffer(lzw_decode(stream, root, w * h), np.uint8)
+            if len(samples) < w * h:
+                raise ValueError(f"{len(samples)} of {w * h} samples are there")
+            samples = samples.reshape(h, w)
             if flags & 0x40:
                 order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
                 samples = samples[np.argsort(order)]
@@ -191,6 +224,8 @@ def decode_frames(data: bytes) -> tuple[int, int, list[Frame]]:
             disposal, delay, transparent = 0, 0, -1
         else:
             raise ValueError(f"broken GIF at {at}")
+    if at >= len(data):
+        raise ValueError("cut short")
     return width, height, frames
 
 
@@ -219,8 +254,10 @@ def compose(width: int, height: int, frames: list[Frame]):
 def histogram(rgba: np.ndarray, bins: int = 4) -> np.ndarray:
     """Counts of visible pixels by colour, each channel in ``bins`` steps (red slowest)."""
     seen = rgba.reshape(-1, 4)
-    step = seen[seen[:, 3] > 0, :3].astype(np.int64) * bins // 256
-    return np.bincount(step @ np.array([bins * bins, bins, 1]), minlength=bins**3)
+    if not seen[:, 3].all():
+        seen = seen[seen[:, 3] > 0]
+    step = (np.arange(256) * bins // 256).astype(np.int32)
+    return np.bincount((step * bins * bins)[seen[:, 0]] + (step * bins)[seen[:, 1]] + step[seen[:, 2]], minlength=bins**3)
 
 
 def payload_gif(payload: bytes) -> bytes:
@@ -258,6 +295,9 @@ def text_gifs(docs: DataFrame) -> DataFrame:
 FRAMES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
+FRAME = pa.schema([("frame", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+
+
 def reading(batches):
     for b in batches:
         rows = []
@@ -276,28 +316,33 @@ def gif_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(reading, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def gif_frames(media: DataFrame, column: str = "media") -> DataFrame:
-    """Every frame of GIFs as rows: the id columns, frame, delay_cs, width, height, rgba, histogram. Null media has no frames; broken media one row with error."""
-    keep = [f for f in media.schema.fields if f.name != column]
+def gif_frames(media: DataFrame, column: str = "media", most: int = MOST) -> DataFrame:
+    """Every frame of GIFs as rows: the other columns, frame, delay_cs, width, height, rgba, histogram, error.
+
+    Null media has no frames; media that is broken, cut short or larger than ``most`` pixels one row with error and nothing
+    else. A column of media that is named like one of the frame's is replaced by it. Rows are treated one by one,
+    whatever they repeat; an empty table gives none.
+    """
+    keep = [f for f in media.schema.fields if f.name not in (column, *FRAME.names)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "frame int, delay_cs int, width int, height int, rgba binary, histogram array<long>, error string"])
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
+                data = b.column(column)[row].as_py()
+                if data is None:
+                    continue
                 own = [b.column(f.name)[row : row + 1] for f in keep]
-                data, rows = b.column(column)[row].as_py(), []
+                names = [f.name for f in keep] + FRAME.names
                 try:
-                    if data is not None:
-                        w, h, frames = decode_frames(data)
-                        rows = [(k, delay, w, h, rgba.tobytes(), histogram(rgba).tolist(), None) for k, (rgba, delay) in enumerate(compose(w, h, frames))]
+                    w, h, frames = decode_frames(data, most)
+                    found = ((k, delay, w, h, rgba.tobytes(), histogram(rgba).tolist(), None) for k, (rgba, delay) in enumerate(compose(w, h, frames)))
                 except (ValueError, IndexError, struct.error) as e:
-                    rows = [(None, None, None, None, None, None, str(e))]
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string())
-                if rows:
-                    cols = [pa.concat_arrays([x] * len(rows)) for x in own] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + ["frame", "delay_cs", "width", "height", "rgba", "histogram", "error"])
+                    found = iter([(None,) * 6 + (str(e),)])
+                for x in found:
+                    yield pa.RecordBatch.from_arrays(own + batch(FRAME, *([v] for v in x)).columns, names=names)
 
-    return media.mapInArrow(run, schema)
+    return media.select(*(f"`{f.name}`" for f in keep), f"`{column}`").mapInArrow(run, schema)
 
 
 def op8_gif_media(spark, sf_dir: str) -> DataFrame:
