@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in SQL functions alone.
 
-A text is reduced to lower-case words parted by single blanks. A rule has a regex over such words, words that must all
-occur before the regex is tried, a rank and a confidence. Detections keep their place; one that lies within another is
+A text is reduced to lower-case words parted by single blanks. A rule has a regex over such words, words that must
+occur before the regex is tried (whatever the regex matches holds them), a rank and a confidence. Detections keep their place; one that lies within another is
 dropped if the other is longer, or equally long and of higher rank.
 """
 
@@ -24,17 +24,18 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 class Rule(NamedTuple):
     label: str
     regex: str  # over words; it matches whole words, see matched()
-    needs: tuple[str, ...]
+    needs: tuple[str, ...]  # the gate: of each entry's alternatives, parted by |, one must occur as a word
     rank: int
     confidence: float
 
 
 LICENSE = r"licen[cs]es?"
+LICENSES = "license|licence|licenses|licences"
 UNDER = r"(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:for use )?under (?:the (?:terms of )?(?:the )?|an? )?"
-#: Families that are named by a phrase and a version: label, phrase, a word it needs, versions.
+#: Families that are named by a phrase and a version: label, phrase, a word it needs, versions; a short name says as much as the phrase and "license".
 VERSIONED = [
     ("apache", r"apache (?:software )?", "apache", ("1.0", "1.1", "2.0")),
-    ("mpl", r"(?:mozilla public|mpl) ?", "mozilla", ("1.0", "1.1", "2.0")),
+    ("mpl", r"(?:mozilla public|mpl) ", "mozilla|mpl", ("1.0", "1.1", "2.0")),
     ("epl", r"eclipse public ", "eclipse", ("1.0", "2.0")),
     ("cddl", r"common development and distribution ", "development", ("1.0", "1.1")),
     ("afl", r"academic free ", "academic", ("1.1", "1.2", "2.0", "2.1", "3.0")),
@@ -60,16 +61,17 @@ VERSIONED = [
     ("upl", r"universal permissive ", "permissive", ("1.0",)),
     ("odbl", r"open database ", "database", ("1.0",)),
     ("odc-by", r"open data commons attribution ", "commons", ("1.0",)),
-    ("cc0", r"(?:cc0|creative commons zero) ?(?:universal )?", "cc0", ("1.0",)),
+    ("cc0", r"(?:cc0|creative commons zero) (?:universal )?", "cc0|zero", ("1.0",)),
 ]
+SHORT = ("mpl", "epl", "cddl", "afl", "osl", "eupl", "ofl", "lppl", "cecill", "zpl", "bsl", "sspl", "busl", "apsl", "rpl", "qpl", "ipl", "cpl", "cpal", "upl", "odbl", "cc0")
 #: Families with one text: label, phrase.
 NAMED = [
     ("mit", r"mit", "mit"), ("mit-0", r"mit no attribution", "attribution"), ("x11", r"x11", "x11"), ("isc", r"isc", "isc"), ("zlib", r"zlib", "zlib"),
-    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "clause"), ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)", "clause"),
-    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", "clause"), ("bsd", r"bsd(?: style)?", "bsd"), ("0bsd", r"(?:0bsd|bsd zero clause)", "0bsd"),
-    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", "ncsa"), ("postgresql", r"postgresql", "postgresql"), ("python", r"(?:python software foundation|psf)", "psf"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd|freebsd"), ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)", "bsd"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"), ("bsd", r"bsd(?: style)?", "bsd"), ("0bsd", r"(?:0bsd|bsd zero clause)", "0bsd|zero"),
+    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", "ncsa"), ("postgresql", r"postgresql", "postgresql"), ("python", r"(?:python software foundation|psf)", "python|psf"),
     ("ruby", r"ruby", "ruby"), ("perl", r"same terms as perl(?: itself)?", "perl"), ("openssl", r"openssl", "openssl"), ("vim", r"vim", "vim"), ("json", r"json", "json"),
-    ("w3c", r"w3c (?:software(?: notice)?)", "w3c"), ("unicode", r"unicode", "unicode"), ("beerware", r"beer ?ware", "beerware"), ("ms-pl", r"microsoft public", "microsoft"),
+    ("w3c", r"w3c (?:software(?: notice)?)", "w3c"), ("unicode", r"unicode", "unicode"), ("beerware", r"beer ?ware", "beerware|beer"), ("ms-pl", r"microsoft public", "microsoft"),
     ("ms-rl", r"microsoft reciprocal", "reciprocal"), ("curl", r"curl", "curl"), ("libpng", r"libpng", "libpng"), ("ijg", r"independent jpeg group", "jpeg"),
     ("naist", r"nara institute of science", "nara"), ("sleepycat", r"sleepycat", "sleepycat"), ("tcl", r"tcl tk", "tcl"), ("xfree86", r"xfree86", "xfree86"),
 ]
@@ -103,7 +105,7 @@ TEXTS = [
     ("reserved", r"all rights reserved", ("reserved", "rights")),
     ("reserved", r"some rights reserved", ("reserved", "some")),
     ("proprietary", r"proprietary and confidential", ("proprietary", "confidential")),
-    ("proprietary", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) .{0,60}?(?:strictly )?prohibited", ("prohibited",)),
+    ("proprietary", r"unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:.{0,60}? )?(?:strictly )?prohibited", ("prohibited",)),
     ("proprietary", r"may not be (?:reproduced|copied|redistributed) without (?:prior |express )?(?:written )?permission", ("permission", "may")),
     ("commons-clause", r"commons clause(?: license condition)?", ("commons", "clause")),
     ("non-commercial", r"(?:for )?non ?commercial use only", ("only", "use")),
@@ -141,14 +143,21 @@ def rules() -> list[Rule]:
         name = f"(?:gnu )?{GNU[label]}" + ("" if label == "fdl" else "general public ") + (" " if label == "fdl" else "") + LICENSE
         tail = r" (?:version |v |v)?" + spoken(version) + (r"(?: 0)?(?: of the license)? or (?:at your option )?(?:any )?later(?: version)?" if later else r"(?: 0)?(?: only)?")
         add(f"{label}-{version}" + ("-or-later" if later else ""), f"(?:{UNDER})?{name}{tail}", ("documentation" if label == "fdl" else "general", "public" if label != "fdl" else "free"), 0.95)
-        add(f"{label}-{version}" + ("-or-later" if later else ""), f"(?:{UNDER})?(?:gnu )?{label} ?(?:version |v |v)?{spoken(version)}" + (r"(?: 0)? or later" if later else "(?: 0)?(?: only)?"), (label,), 0.9)
+        first = version[0]
+        add(f"{label}-{version}" + ("-or-later" if later else ""), f"(?:{UNDER})?(?:gnu )?{label}(?: version | v | v|v| )?{spoken(version)}" + (r"(?: 0)? or (?:any )?later" if later else "(?: 0)?(?: only)?"), (f"{label}|{label}v{first}|{label}{first}",), 0.9)
     for label in GNU:
         name = f"(?:gnu )?{GNU[label]}" + ("" if label == "fdl" else "general public ") + (" " if label == "fdl" else "") + LICENSE
         add(label, f"(?:{UNDER})?{name}", ("documentation" if label == "fdl" else "general",), 0.8)
+        add(label, f"{UNDER}(?:gnu )?{label}", (label, "under"), 0.8)
     for label, phrase, need, versions in VERSIONED:
         for version in versions:
-            add(f"{label}-{version}", f"(?:{UNDER})?(?:the )?{phrase}(?:{LICENSE} )?(?:version |v |v)?{spoken(version)}(?: {LICENSE})?", ("license", need, spoken(version).split()[0]), 0.95)
-        add(label, f"(?:{UNDER})?(?:the )?{phrase}license", ("license", need), 0.8)
+            number, digits = rf"(?:version |v |v)?{spoken(version)}", f"{version.split('.')[0]}|v{version.split('.')[0]}"
+            add(f"{label}-{version}", f"(?:{UNDER})?(?:the )?{phrase}{LICENSE} {number}", (need, LICENSES, digits), 0.95)
+            add(f"{label}-{version}", f"(?:{UNDER})?(?:the )?{phrase}{number} {LICENSE}", (need, LICENSES, digits), 0.95)
+            add(f"{label}-{version}", f"{UNDER}(?:the )?{phrase}{number}", (need, "under", digits), 0.95)
+            if label in SHORT:
+                add(f"{label}-{version}", f"(?:{UNDER})?(?:the )?{label} {number}", (label, digits), 0.9)
+        add(label, f"(?:{UNDER})?(?:the )?{phrase}{LICENSE}", (need, LICENSES), 0.8)
     for label, phrase, need in NAMED:
         for word in ("license", "licence"):
             add(label, f"{UNDER}{phrase} {word}", (word, need, "under"), 0.9)
@@ -194,9 +203,9 @@ def license_scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     """
     table = rules() if table is None else table
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce("text", F.lit(""))).alias("w"))
-    needs = sorted({n for r in table for n in r.needs[:1]})
-    rows = [{"label": r.label, "regex": f"(?<= )(?:{r.regex})(?= )", "needs": [f" {n} " for n in r.needs], "rank": r.rank, "confidence": r.confidence} for r in table]
-    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,regex:string,needs:array<string>,rank:int,confidence:double>>")
+    needs = sorted({n for r in table for n in r.needs[0].split("|")})
+    rows = [{"label": r.label, "regex": f"(?<= )(?:{r.regex})(?= )", "needs": [[f" {n} " for n in alternatives.split("|")] for alternatives in r.needs], "rank": r.rank, "confidence": r.confidence} for r in table]
+    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,regex:string,needs:array<array<string>>,rank:int,confidence:double>>")
     first = F.filter(F.array(*(F.lit(f" {n} ") for n in needs)), lambda n: F.contains(F.col("w"), n))
 
     def detected(r: Column) -> Column:
@@ -209,7 +218,7 @@ def license_scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
         return F.exists(all_, lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & ((size(e) > size(d)) | (e["rank"] > d["rank"])))
 
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,rank:int,confidence:double>>")
-    tried = F.filter(literal, lambda r: F.array_contains(F.col("gate"), r["needs"][0]) & F.forall(r["needs"], lambda n: F.contains(F.col("w"), n)))
+    tried = F.filter(literal, lambda r: F.arrays_overlap(F.col("gate"), r["needs"][0]) & F.forall(F.slice(r["needs"], 2, 9), lambda any_: F.exists(any_, lambda n: F.contains(F.col("w"), n))))
     out = words.withColumn("gate", first)
     out = out.withColumn("raw", F.when(F.size("gate") > 0, F.flatten(F.transform(tried, detected))).otherwise(none))
     out = out.withColumn("detections", F.when(F.size("raw") > 1, F.filter("raw", lambda d: ~outranked(d, F.col("raw")))).otherwise(F.col("raw")))
