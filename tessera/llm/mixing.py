@@ -1,7 +1,7 @@
 """Mixing sources to target weights by the cube method.
 
 Every document starts with a fractional expected number of copies; whole copies are taken, the fraction is an
-inclusion probability. The flight phase moves probabilities along directions that keep both balances - words and
+inclusion probability. Documents too large for a landing are settled first, against all others. The flight phase moves probabilities along directions that keep both balances - words and
 documents - until each task's lot has at most about LAST fractions left; leftovers are flown again together, and the few of
 a source that remain are landed by the choice nearest to both balances.
 """
@@ -71,6 +71,33 @@ def flight(sizes: list[float], p: list[float], rng: random.Random) -> None:
             live = [i for i in live if 0 < p[i] < 1]
 
 
+def settle_large(sizes: np.ndarray, p: np.ndarray, limit: float, rng: random.Random) -> None:
+    """Moves p of documents beyond ``limit`` words, which no landing could balance, to 0 or 1, all smaller ones in the other direction.
+
+    Each step lies in the null-space of both balances and goes on until some p is 0 or 1; if the smaller ones are all
+    of one size, words alone are balanced.
+    """
+    for k in np.argsort(-sizes, kind="stable"):
+        if sizes[k] <= limit:
+            break
+        while 0 < p[k] < 1:
+            live = np.flatnonzero((p > 0) & (p < 1) & (sizes <= limit))
+            s = sizes[live]
+            if len(live) < LAST or not s.any():
+                break
+            if s.min() < s.max():
+                slope = -(sizes[k] - s.mean()) / ((s - s.mean()) ** 2).sum()
+                move = slope * (s - s.mean()) - 1 / len(s)
+            else:
+                move = np.full(len(s), -sizes[k] / s.sum())
+            move, own = np.append(move, 1.0), np.append(live, k)
+            with np.errstate(divide="ignore"):
+                up = np.where(move > 0, (1 - p[own]) / move, np.where(move < 0, p[own] / -move, np.inf)).min()
+                down = np.where(move > 0, p[own] / move, np.where(move < 0, (1 - p[own]) / -move, np.inf)).min()
+            moved = p[own] + (up if rng.random() * (up + down) < down else -down) * move
+            p[own] = np.where(moved < 1e-9, 0.0, np.where(moved > 1 - 1e-9, 1.0, moved))
+
+
 def landing(sizes: np.ndarray, p: np.ndarray) -> None:
     """Sets the last fractions (at most about LAST of them) to the 0s and 1s that come nearest to their words and documents."""
     live = np.flatnonzero((p > 0) & (p < 1))
@@ -88,6 +115,7 @@ def lot_flight(land: bool):
         rng = random.Random(int(lot["place"].iloc[0]) ^ len(lot))
         # Documents of all sizes stay for the landing, so that it can come near.
         stay = np.argsort(sizes, kind="stable")[np.unique(np.linspace(0, len(lot) - 1, LAST - 2).astype(int))]
+        settle_large(sizes, p, sizes[stay[:-1]].sum(), rng)
         fly = np.setdiff1d(np.arange(len(lot)), stay)
         flown = p[fly].tolist()
         flight(sizes[fly].tolist(), flown, rng)
