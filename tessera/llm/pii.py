@@ -160,7 +160,7 @@ def counting(batches):
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, documents_least: int) -> DataFrame:
-    """entity, term and disclosure of the pairs at or above the threshold, all counted over whole documents.
+    """entity, term and disclosure of the pairs at or above the threshold, all counted over whole documents, each once.
 
     A pair is met no more often than its entity, so a term more frequent than that allows at the threshold is dropped
     before pairs are made.
@@ -182,13 +182,17 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, threshold: float, docum
 def personal_data(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, documents_least: int = 2) -> DataFrame:
     """id, th, spans (base: start, kind, end) and terms (start, end, disclosure) of each row; see keyed() for id and th.
 
-    A term that discloses any entity is named wherever it stands outside base spans, in documents without such too,
-    with its highest disclosure. Null text is empty. Rows that repeat a document each get its result. Other columns are
-    ignored.
+    A term (a word of four letters or more) that stands with an entity in ``documents_least`` documents or more, and
+    whose disclosure of it is ``generalise`` or more, is named wherever it stands outside base spans, in documents
+    without such too, with its highest disclosure. Null text is empty and has no spans. Rows that repeat a document
+    (doc_id and text) count as one and each get its result; null doc_ids with one text are one document. An empty
+    table gives none. Other columns, whatever their names, are ignored.
     """
     texts = keyed(docs)
     found = cut(texts.mapInArrow(finding, FOUND_SQL))
-    strong = cut(disclosing_terms(found, texts, generalise, documents_least).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    repeated = found.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    once = texts if repeated.isEmpty() else texts.dropDuplicates(["id", "th"])  # texts are shuffled only if some row is there twice
+    strong = cut(disclosing_terms(found, once, generalise, documents_least).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
     marked = texts.mapInArrow(marking(sieve_of(strong)), "id long, th long, term string, start long, end long")
     terms = marked.join(strong, "term").groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
@@ -196,7 +200,10 @@ def personal_data(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95
 
 
 def sanitise(docs: DataFrame, remove: float = 0.95, **options) -> DataFrame:
-    """docs with text rewritten: base spans become [KIND], terms [REMOVED] or, below ``remove``, [WORD] or [NAME] (capitalised). All other columns are kept; null text stays null."""
+    """docs with text rewritten: base spans become [KIND], terms [REMOVED] or, below ``remove``, [WORD] or [NAME] (capitalised).
+
+    All other columns are kept; null text stays null. Rows that repeat a document are each rewritten alike.
+    """
     found = personal_data(docs, remove=remove, **options).distinct()
     found = found.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"), F.col("terms").alias("__terms"))
 
