@@ -1,42 +1,51 @@
 """Benchmark decontamination by winnowing.
 
 Of every ``guard`` consecutive word ``GRAM``-grams the one with the smallest hash is a fingerprint, so any span of
-``window`` words that a document shares with an item holds a fingerprint common to both. Item fingerprints meet
-document fingerprints; around each hit, windows are extended and checked word by word. Items shorter than a window
-are one window each, with their own, shorter grams. Words are numbered by the benchmark's vocabulary, so a check
-compares words, not hashes.
+``window`` words that a document shares with an item holds a fingerprint common to both. Items shorter than a window are
+one window each, with their own, shorter grams.
 
-The benchmark is taken in blocks of bounded size, each sent to all tasks, against all documents; one block is the rule.
+1. The items' fingerprints are written to a sieve, a bit table of bounded size, which goes to all tasks.
+2. Documents are read once: a fingerprint that passes the sieve is extended to the windows that hold it. These alone are
+   sent on, each as two 64-bit hashes of its words' hashes.
+3. Windows of documents and items are joined. Windows that belong to the same items share a class, so a document is
+   joined with the items of its few classes, not of its many windows.
+
+All three run on the executors; the driver sees nothing but the sieve.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batch, byte_lists, documents, keyed, long_array
+from .common import NULL_ID, batch, byte_lists, cut, documents, keyed, long_array
 
 GRAM = 5
+PLACE = np.uint64(30)  # bits for a word's place; texts of 2 GB hold fewer words
 #: Bytes that part words; A-Z become lower case.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 TABLE = bytes(0x20 if c in SEPARATORS else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-RESULT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def gram_hash(ids: np.ndarray, size: int) -> np.ndarray:
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+def word_hashes(text: bytes) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def gram_hash(ids: np.ndarray, size: int, seed: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """A hash of ``size`` words from each place."""
+    n = max(0, len(ids) - size + 1)
+    out = np.full(n, seed)
     for k in range(size):
         out = (out ^ ids[k : k + n]) * C1
         out ^= out >> np.uint64(29)
@@ -44,145 +53,186 @@ def gram_hash(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def winnowed(h: np.ndarray, guard: int) -> np.ndarray:
-    """Places of the rightmost smallest hash in each run of ``guard`` hashes."""
+    """Places of the smallest hash (leftmost where the leading bits agree) in each run of ``guard`` hashes."""
     if len(h) < guard:
         return np.empty(0, np.int64)
-    if guard == 1:
-        return np.arange(len(h))
-    view = np.lib.stride_tricks.sliding_window_view(h[::-1], guard)
-    return len(h) - 1 - np.unique(view.argmin(axis=1) + np.arange(len(view)))
-
-
-class Index:
-    """Windows, fingerprints and vocabulary of a block of items."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.names, self.window = [i for i, _ in items], window
-        self.vocabulary: dict[bytes, int] = {}
-        by_size: dict[int, tuple[list, list]] = {}
-        for at, (_, text) in enumerate(items):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint64)
-            if len(ids):
-                rows, own = by_size.setdefault(min(window, len(ids)), ([], []))
-                view = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
-                rows.append(view)
-                own.append(np.full(len(view), at))
-        self.sizes = []
-        for size, (rows, own) in sorted(by_size.items()):
-            distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-            owner = np.unique(np.stack([which.ravel(), np.concatenate(own)], axis=1), axis=0)
-            gram = min(GRAM, size)
-            prints = np.unique(np.concatenate([h[winnowed(h, size - gram + 1)] for h in (gram_hash(w, gram) for w in distinct)]))
-            key = np.array([gram_hash(w, size)[0] for w in distinct])
-            order = np.argsort(key, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            owner[:, 0] = place[owner[:, 0]]
-            owner = owner[np.argsort(owner[:, 0], kind="stable")]
-            self.sizes.append((size, gram, prints, key[order], distinct[order], np.searchsorted(owner[:, 0], np.arange(len(order) + 1)), owner[:, 1]))
-
-    def search(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which words lie in an occurrence of a window, and the items that have such a window."""
-        hit, found = np.zeros(len(words) + 1, np.int64), set()
-        ids = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), np.uint64, len(words))
-        for size, gram, prints, keys, windows, first, owner in self.sizes:
-            if len(ids) < size:
-                continue
-            h = gram_hash(ids, gram)
-            places = winnowed(h, size - gram + 1)
-            place = np.searchsorted(prints, h[places])
-            places = places[prints[np.minimum(place, len(prints) - 1)] == h[places]]
-            if not len(places):
-                continue
-            near = np.zeros(len(ids) - size + 2, np.int64)  # window starts whose window holds a fingerprint hit
-            np.add.at(near, np.maximum(0, places - (size - gram)), 1)
-            np.add.at(near, np.minimum(len(near) - 1, places + 1), -1)
-            start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            view = np.lib.stride_tricks.sliding_window_view(ids, size)
-            key = gram_hash_rows(view, start)
-            low = np.searchsorted(keys, key)
-            while len(start):  # equal hashes stand side by side
-                inside = low < len(keys)
-                start, key, low = start[inside], key[inside], low[inside]
-                same = keys[low] == key
-                start, key, low = start[same], key[same], low[same]
-                true = (windows[low] == view[start]).all(axis=1)
-                np.add.at(hit, start[true], 1)
-                np.add.at(hit, start[true] + size, -1)
-                for w in np.unique(low[true]):
-                    found.update(owner[first[w] : first[w + 1]].tolist())
-                low = low + 1
-        return np.cumsum(hit[:-1]) > 0, found
-
-
-def gram_hash_rows(view: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(view.shape[1]):
-        out = (out ^ view[rows, k]) * C1
+    key, have = h >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64), 1
+    while have < guard:
+        step = min(have, guard - have)
+        key = np.minimum(key[: len(key) - step], key[step:])
+        have += step
+    place = (key & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    return place[np.append(True, place[1:] != place[:-1])]
+
+
+def prints(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all windows of ``size`` words, and their places; those of other sizes are other ones."""
+    gram = min(GRAM, size)
+    h = gram_hash(ids, gram)
+    places = winnowed(h, size - gram + 1)
+    return (h[places] ^ np.uint64(size)) * C3, places
+
+
+WINDOWS = pa.schema([("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("item", pa.string()), ("nameless", pa.bool_()), ("prints", pa.binary())])
+
+
+def item_windows(window: int):
+    """A row for each distinct window of an item; an item's fingerprints stand beside its first window."""
+
+    def sent(held: list) -> pa.RecordBatch:
+        sizes, pairs, names, nameless, own = zip(*held, strict=True)
+        many = np.array([len(x) for x in pairs])
+        first = np.cumsum(many) - many
+        prints_of = np.full(int(many.sum()), None, object)
+        prints_of[first] = own
+        both = np.concatenate(pairs).view(np.int64)
+        return batch(WINDOWS, np.repeat(sizes, many), both[:, 0], both[:, 1], np.repeat(np.array(names, object), many), np.repeat(nameless, many), prints_of)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for item, nameless, text in zip(b.column("item").to_pylist(), b.column("nameless").to_pylist(), byte_lists(b.column("text")), strict=True):
+                ids = word_hashes(text)
+                if size := min(window, len(ids)):
+                    pairs = np.unique(np.stack([gram_hash(ids, size), gram_hash(ids, size, C3)], axis=1), axis=0)
+                    held.append((size, pairs, item, nameless, np.unique(prints(ids, size)[0]).tobytes()))
+                    n += len(pairs)
+                if n > 20_000:
+                    yield sent(held)
+                    held, n = [], 0
+        if held:
+            yield sent(held)
+
+    return run
+
+
+def sieve_of(windows: DataFrame, most_bytes: int) -> bytes:
+    """A bit table with the items' fingerprints, about 32 times as many bits as those but ``most_bytes`` at most; a fuller one lets more pass, which the join drops."""
+    total = windows.agg(F.sum(F.octet_length("prints"))).first()[0] or 0
+    table = np.zeros(1 << max(3, min((4 * total // 8).bit_length(), most_bytes.bit_length() - 1)), np.uint8)
+    mask = np.uint64(8 * len(table) - 1)
+    for row in windows.where("prints is not null").select("prints").toLocalIterator(prefetchPartitions=True):
+        bit = np.frombuffer(row[0], "<u8") & mask
+        np.bitwise_or.at(table, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    return table.tobytes()
+
+
+FOUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("start", pa.list_(pa.int32())), ("size", pa.list_(pa.int32())), ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
+
+
+def candidates(ids: np.ndarray, sizes: list[int], table: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Start, size and hashes of the windows that hold a fingerprint which passes the sieve."""
+    out, mask = [], np.uint64(8 * len(table) - 1)
+    for size in sizes:
+        if len(ids) < size:
+            continue
+        found, places = prints(ids, size)
+        bit = found & mask
+        places = places[(table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        if not len(places):
+            continue
+        near = np.zeros(len(ids) - size + 2, np.int64)  # window starts whose window holds the fingerprint
+        np.add.at(near, np.maximum(0, places - (size - min(GRAM, size))), 1)
+        np.add.at(near, np.minimum(len(near) - 1, places + 1), -1)
+        start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        rows = np.lib.stride_tricks.sliding_window_view(ids, size)[start]
+        out.append((start, np.full(len(start), size), *(gram_rows(rows, seed).view(np.int64) for seed in (np.uint64(0), C3))))
+    return out
+
+
+def gram_rows(rows: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """gram_hash() of whole rows."""
+    out = np.full(len(rows), seed)
+    for k in range(rows.shape[1]):
+        out = (out ^ rows[:, k]) * C1
         out ^= out >> np.uint64(29)
     return out * C2
 
 
-def searching(index):
-    def run(batches):
-        ix = index.value
+def searching(sizes: list[int], sieve):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(sieve.value, np.uint8)
         for b in batches:
-            rows = []
-            for i, th, text in zip(long_array(b.column("id")), long_array(b.column("th")), byte_lists(b.column("text")), strict=True):
-                words = words_of(text)
-                hit, found = ix.search(words)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                rows.append((i, th, len(words), edge.tolist(), [ix.names[k] for k in sorted(found)]))
-            if rows:
-                yield batch(RESULT, *zip(*rows, strict=True))
+            for at in range(0, b.num_rows, 1_000):
+                part, rows = b.slice(at, 1_000), []
+                for i, th, text in zip(long_array(part.column("id")), long_array(part.column("th")), byte_lists(part.column("text")), strict=True):
+                    ids = word_hashes(text)
+                    found = candidates(ids, sizes, table)
+                    rows.append((i, th, len(ids), *([np.concatenate(x) for x in zip(*found, strict=True)] if found else [()] * 4)))
+                yield batch(FOUND, *zip(*rows, strict=True))
 
     return run
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
-    """Ranges of a hash of the item, each of about ``block_bytes`` of text or less."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return [(k, n) for n in [max(1, -(-total // block_bytes))] for k in range(n)]
+HITS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.list_(pa.int64()))])
+
+
+def merging(batches) -> Iterator[pa.RecordBatch]:
+    """Number of words in a document's windows, and the spans that these make."""
+    for b in batches:
+        rows = []
+        for i, th, places in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("places").to_pylist(), strict=True):
+            spans: list[int] = []
+            for a, z in sorted((p["start"], p["start"] + p["size"]) for p in places):
+                if spans and a <= spans[-1]:
+                    spans[-1] = max(spans[-1], z)
+                else:
+                    spans += [a, z]
+            rows.append((i, th, sum(spans[1::2]) - sum(spans[::2]), spans))
+        if rows:
+            yield batch(HITS, *zip(*rows, strict=True))
 
 
-def search_items(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """id, th (see keyed()), n_words, hits and items of each row; results over several blocks are merged."""
+def search_items(docs: DataFrame, items: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, th (see keyed()) and n_words of each row; n_hit and hits of each document with a window of an item; item names of each, by class."""
     spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where("text is not null")
-    found = None
-    rows = keyed(docs)
-    for k, n in item_blocks(items, block_bytes):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text.encode()) for r in block.collect()], window))
-        part = rows.mapInArrow(searching(index), "id long, th long, n_words long, hits array<long>, items array<string>")
-        found = part if found is None else found.unionByName(part)
-    if n > 1:
-        pairs = F.expr("transform(sequence(0, cast(size(hits) / 2 as int) - 1), k -> struct(hits[2 * k] as a, hits[2 * k + 1] as z))")
-        found = found.withColumn("pairs", F.when(F.size("hits") > 0, pairs).otherwise(F.expr("cast(array() as array<struct<a: bigint, z: bigint>>)")))
-        found = found.groupBy("id", "th").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"))
-        merge = """aggregate(pairs, cast(array() as array<bigint>), (m, p) -> if(size(m) > 0 and p.a <= m[size(m) - 1],
-                   concat(slice(m, 1, size(m) - 1), array(greatest(m[size(m) - 1], p.z))), concat(m, array(p.a, p.z))))"""
-        found = found.withColumn("hits", F.expr(merge)).withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("pairs", "copies", "copy")
-    n_hit = F.expr("aggregate(hits, struct(0L as n, -1L as open), (s, x) -> if(s.open < 0, struct(s.n as n, x as open), struct(s.n + x - s.open as n, -1L as open)), s -> s.n)")
-    found = found.withColumn("n_hit", n_hit)
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+    named = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("item_id").isNull().alias("nameless"), "text")
+    schema = "size int, h1 long, h2 long, item string, nameless boolean, prints binary"
+    windows = cut(named.mapInArrow(item_windows(window), schema))
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # window numbers at most
+    sieve = spark.sparkContext.broadcast(sieve_of(windows, block_bytes))
+    found = cut(keyed(docs).mapInArrow(searching(sizes, sieve), "id long, th long, n_words long, start array<int>, size array<int>, h1 array<long>, h2 array<long>"))
+    key, kind = ["size", "h1", "h2"], ["c1", "c2", "n"]
+    own = windows.select(*key, "item", "nameless").distinct()
+    mark = lambda seed: F.bit_xor(F.xxhash64("item", "nameless", F.lit(seed)))  # noqa: E731  of a set, whatever its order
+    classes = cut(own.groupBy(*key).agg(mark(1).alias("c1"), mark(2).alias("c2"), F.count("*").alias("n")))
+    places = found.where(F.size("start") > 0).select("id", "th", F.explode(F.arrays_zip("start", *key)).alias("w")).select("id", "th", "w.*")
+    met = cut(places.join(classes, key).select("id", "th", "start", "size", *kind))
+    hits = met.groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("places")).mapInArrow(merging, "id long, th long, n_hit long, hits array<long>")
+    members = own.join(classes, key).select(*kind, "item", "nameless").distinct()
+    names = met.select("id", "th", *kind).distinct().join(members, kind).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("item", "nameless"))).alias("names"))
+    return found.select("id", "th", "n_words"), hits, names
+
+
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted) and hits (starts and ends in turn) of each row of docs.
 
     A document word is hit inside any occurrence of ``window`` consecutive item words (of the whole item, if that is
-    shorter but not empty). contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null text has no words, null item text
-    is no item, a null item_id is named "null"; items that repeat an id count once. Rows of docs that repeat a
-    document each get its result. Other columns are ignored.
+    shorter but not empty). contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words, null
+    item text is no item, items without an item_id are one item, named "null"; items that repeat an id count once, with
+    all their texts. Rows of docs that repeat a document each get its result, those without doc_id too. Without items
+    nothing is hit, without docs there are no rows. Other columns, whatever their names, are ignored. Words and windows
+    are compared by hashes, windows by two of 64 bits. ``block_bytes`` bounds the sieve that is broadcast, not the result.
     """
-    items_sorted = F.array_sort(F.array_distinct("items"))
-    return search_items(docs, items, window, block_bytes).select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "n_words", "n_hit", F.size(items_sorted).cast("long").alias("n_items"), F.sha2(F.array_join(items_sorted, ","), 256).alias("items_sha256"), "contaminated", items_sorted.alias("items"), "hits")
+    rows, hits, names = search_items(docs, items, window, block_bytes)
+    done = rows.join(hits, ["id", "th"], "left").join(names, ["id", "th"], "left")
+    found = F.coalesce(F.transform("names", lambda x: x["item"]), F.expr("cast(array() as array<string>)"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    done = done.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "n_words", n_hit.alias("n_hit"), found.alias("items"), F.coalesce("hits", F.expr("cast(array() as array<bigint>)")).alias("hits"))
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "items", "hits")
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs without contaminated documents; columns and clean rows stay as they are."""
-    bad = search_items(docs, items, window, block_bytes).where("contaminated").select(F.col("id").alias("__id"), F.col("th").alias("__th"))
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+    """docs without contaminated documents (see decontaminate()); all columns and clean rows stay as they are.
+
+    Documents of null or empty text are clean. Rows that repeat a document stay or go together.
+    """
+    rows, hits, _ = search_items(docs, items, window, block_bytes)
+    bad = rows.join(hits, ["id", "th"]).where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__id"), F.col("th").alias("__th"))
     on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
     return docs.join(bad, on, "left_anti")
 
