@@ -14,7 +14,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.line_dedup(docs)
+    return lines.line_dedup(docs, words=50)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each written to the shared checkpoint folder and read again."""
+    """All stages over the whole documents table, each written to the shared checkpoint folder and read again.
+
+    A stage's folder goes once the next one is written; the last one, which the result reads, stays.
+
+    Rows of null or empty text, or without a letter, go in the first stage. Null doc_ids are documents of their own, as
+    far as their texts differ; rows that repeat a document (doc_id and text) are one from the third stage on. An empty
+    table gives no rows. Columns beyond those of documents are carried to the last stage, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.drop_folder(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
