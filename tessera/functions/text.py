@@ -213,7 +213,8 @@ def parts_of(x: Column) -> Column:
 
 
 def natural_key(x: Column) -> Column:
-    """Sorts without regard to case and accents, digit runs by value (up to 18 digits)."""
+    """Sorts without regard to case and accents, digit runs by value: by their length, which stands before them, then as they are."""
     plain = F.lower(F.translate(x, "ÁÀÂÄÃÅĀáàâäãåāÉÈÊËĒéèêëēÍÌÎÏĪíìîïīÓÒÔÖÕŌóòôöõōÚÙÛÜŪúùûüūÇçÑñḤḥṬṭṢṣẒẓ", "AAAAAAAaaaaaaaEEEEEeeeeeIIIIIiiiiiOOOOOOooooooUUUUUuuuuuCcNnHhTtSsZz"))
     parts = F.regexp_extract_all(plain, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")
+    digits = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.regexp_replace(p, "^0+(?=.)", "")).otherwise(p))
+    return F.array_join(F.transform(digits, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(p).cast("string"), 10, "0"), p)).otherwise(p)), "")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.reuse import in_place
 
 
 def filter_entries(entries: DataFrame, needle: str | None = None, category: str | None = None) -> DataFrame:
@@ -26,7 +26,12 @@ def sort_entries(entries: DataFrame, key: str = "term", descending: bool | None
     down = key == "count_int" if descending is None else descending
     columns = [F.col(key) if key == "count_int" else text.natural_key(F.col(key)), text.natural_key(F.col("term")), F.col("term")]
     order = [c.desc() if down else c.asc() for c in columns]
-    return entries.withColumn("row_no", F.row_number().over(W.orderBy(*order))).orderBy("row_no")
+    return numbered(entries, order).orderBy("row_no")
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with row_no from 1 in a view's order; sorted by ranges, so no task holds more than a range. Equal rows are numbered in any order."""
+    return in_place(rows.sort(*order), "row_no")
 
 
 def counts(entries: DataFrame, needle: str | None = None, category: str | None = None) -> DataFrame:
