@@ -61,12 +61,6 @@ def hashed_embedding(width: int = 64, most: int = 512):
     return lambda x: mean_pool(F.transform(tokens(x), vector))
 
 
-def inside(spans: Column, sentence: Column) -> Column:
-    """Spans that lie within a sentence, last end first; within the document, so nothing is shuffled."""
-    kept = F.filter(spans, lambda e: (e["start_char"] >= sentence["start_char"]) & (e["end_char"] <= sentence["end_char"]))
-    return F.reverse(F.array_sort(F.transform(kept, lambda e: F.struct(e["end_char"].alias("end_char"), e["start_char"].alias("start_char"), e["text"].alias("text"), e["label"].alias("label")))))
-
-
 def shown_label(entity: str, label: str, lookup: dict[str, str]) -> str | None:
     """What an entity is called; None: it isn't shown."""
     key = entity.lower().strip(".:, ")

@@ -81,6 +81,34 @@ def term_matches(texts: DataFrame, keys: list[str], column: str, dictionary: Dat
     return grams.join(keyed, "__key").select(*keys, *dictionary.columns)
 
 
+def phrase_matches(texts: DataFrame, key: str, column: str, phrases: DataFrame, name: str, phrase: str, size: int = 6, most_bytes: int = 1 << 20) -> DataFrame:
+    """key and name of each text that holds a phrase as it stands.
+
+    A phrase's first and last tokens may be parts of longer ones in the text, those within are whole. So phrases with
+    ``size`` inner tokens are met by an equi-join of runs of so many, shorter ones with inner tokens by those, and each
+    meeting is checked on the text. Phrases without inner tokens are searched for in every text, a bounded number of
+    bytes of them at a time. The empty phrase stands in every text; null ones in none.
+    """
+    words = F.transform(F.regexp_extract_all(phrase, F.lit(TOKEN), F.lit(0)), lambda x: x)
+    known = phrases.where(F.col(phrase).isNotNull()).select(name, phrase, words.alias("__words")).withColumn("__n", F.least(F.lit(size), F.greatest(F.size("__words") - 2, F.lit(0))))
+    sizes = sorted(r[0] for r in known.where("__n > 0").select("__n").distinct().collect())  # size numbers at most
+    found = texts.select(key).join(phrases.select(name).where("false"))
+    if sizes:
+        keyed = known.where("__n > 0").select(name, F.array_join(F.slice("__words", F.lit(2), F.col("__n")), " ").alias("gram"))
+        cased = spread(texts.select(key, column), [key]).withColumn("__w", F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)))
+        grams = cased.select(key, F.explode(F.array_distinct(ngrams(F.col("__w"), sizes))).alias("gram"))
+        met = grams.join(keyed, "gram").select(key, name).distinct()
+        found = found.unionByName(met.join(texts.select(key, column), key).join(known.select(name, phrase), name).where(F.contains(column, F.col(phrase))).select(key, name))
+    short = known.where("__n = 0").select(name, phrase)
+    total = short.agg(F.sum(F.octet_length(phrase) + 16)).first()[0] or 0
+    blocks = -(-total // most_bytes)
+    for k in range(blocks):
+        held = short.where(F.pmod(F.xxhash64(phrase), F.lit(blocks)) == k).agg(F.collect_list(F.struct(name, phrase)).alias("__held"))
+        inside = F.filter("__held", lambda p: F.contains(F.col(column), p[phrase]))
+        found = found.unionByName(texts.select(key, column).join(F.broadcast(held)).select(key, F.explode(inside).alias("p")).select(key, F.col(f"p.{name}").alias(name)))  # one row, of a block's bytes
+    return found.distinct()
+
+
 def alternation(terms: list[str]) -> str:
     """One pattern for a short term list; longer terms first, the list's order among equals."""
     return "|".join(text.quoted(t) for t in sorted(terms, key=len, reverse=True))

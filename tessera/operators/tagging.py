@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, values
@@ -72,7 +71,8 @@ def generate_tags(docs: DataFrame, terms: DataFrame, key: str = "key", topics: D
     """key and tags (sorted) of each document.
 
     docs: key, text, entities (array of struct text, label), noun_phrases. terms: source, term (see dictionary()).
-    topics: key, words (most weighty first). Documents without tags get an empty list.
+    topics: key, words (most weighty first). Documents without tags get an empty list. Documents
+    without a key are one.
 
     What entities, the text, noun phrases and topics give is gathered once by key, so each is computed once; unions and
     differences are array functions on that one row, which holds distinct terms and tags alone.
@@ -92,7 +92,8 @@ def generate_tags(docs: DataFrame, terms: DataFrame, key: str = "key", topics: D
     keeping = F.array_contains("concepts", "concept:shabbat") | F.array_contains("base", "concept:shabbat")
     by_phrase = F.filter(of("phrase tag"), lambda t: ~(keeping & (t == "topic:shabbat")))
     tags = F.array_sort(F.array_distinct(F.concat(F.array_except(named, drop), by_phrase, of("topic tag"))))
-    return docs.select(key).join(rows.select(key, tags.alias("tags")), key, "left").select(key, F.coalesce("tags", F.expr(text.NO_STRINGS)).alias("tags"))
+    tagged = rows.select(F.col(key).alias("__key"), tags.alias("tags"))
+    return docs.select(key).join(tagged, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce("tags", F.expr(text.NO_STRINGS)).alias("tags"))
 
 
 def page_lookup(tags: DataFrame, page: str) -> DataFrame:
@@ -127,8 +128,3 @@ def first_tags(tags: Column, most: int = 5) -> Column:
     """The first tags, and how many more there are."""
     more = F.size(tags) - most
     return F.concat(F.array_join(F.slice(tags, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" … (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
-
-
-def rank_within(rows: DataFrame, order: list) -> DataFrame:
-    """rows numbered from 1 in a view's order."""
-    return rows.withColumn("row_no", F.row_number().over(W.orderBy(*order)))
