@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import html
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
 from ..functions import text
+from ..functions.reuse import in_place
 
 ENCODINGS = ("utf-8", "latin-1", "cp1252", "iso-8859-1")
 JAVA_NAMES = {"latin-1": "ISO-8859-1", "cp1252": "windows-1252", "utf-8": "UTF-8", "iso-8859-1": "ISO-8859-1"}
@@ -54,26 +51,29 @@ def probe_encoding(spark: SparkSession, path: str) -> str:
     return ENCODINGS[-1]
 
 
-def read_rich_rows(spark: SparkSession, path: str, encoding: str = "cp1252", first: int | None = None) -> DataFrame:
-    """row_idx, location, html of a two-column CSV with quoted line breaks, in file order; rows with fewer cells go.
+#: What the bytes 0x80 to 0x9F stand for in cp1252; five of them for nothing.
+CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 
-    Java's name for cp1252 is refused unless ``spark.sql.legacy.javaCharsets`` is on, so the bytes are decoded here,
-    file by file. ``first`` keeps that many rows by their place.
-    """
-    import csv
-    import io
 
-    def run(batches):
-        import pandas as pd
+def read_rich_rows(spark: SparkSession, path: str, encoding: str = "cp1252", first: int | None = None, columns: tuple[str, str] | None = None) -> DataFrame:
+    """row_idx, location, html of a CSV with header and quoted line breaks, in file order.
+
+    The two columns are named, or else the first two; rows without the second go. ``first`` keeps that many rows by
+    their place. Java's name for cp1252 is refused by default: its bytes are read as Latin-1, and the 32 that differ are
+    replaced.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).option("encoding", "ISO-8859-1" if encoding == "cp1252" else JAVA_NAMES.get(encoding, encoding))
+    raw = reader.csv(path)
+    names = list(columns or raw.columns[:2])
+    plain = lambda x: F.translate(x, "".join(map(chr, range(0x80, 0xA0))), CP1252) if encoding == "cp1252" else x
+    rows = raw.select(*(plain(F.col(f"`{c}`")).alias(t) for c, t in zip(names, ("location", "html"), strict=True))).where("html is not null")
+    numbers = in_place(rows, "row_idx").select("row_idx", "location", "html")
+    return numbers.where(F.col("row_idx") <= first) if first else numbers
 
-        csv.field_size_limit(2**31 - 1)
-        for b in batches:
-            for content in b["content"]:
-                rows = [r for r in csv.reader(io.StringIO(bytes(content).decode(encoding, "replace"), newline=""))][1:]
-                yield pd.DataFrame([(k, r[0], r[1]) for k, r in enumerate((r for r in rows if len(r) >= 2), 1)], columns=["row_idx", "location", "html"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row_idx long, location string, html string")
-    return rows.where(F.col("row_idx") <= first) if first else rows
+def read_rich_file(spark: SparkSession, path: str, columns: tuple[str, str] | None = None, first: int | None = None) -> DataFrame:
+    """The same, by the first encoding that reads the file's start."""
+    return read_rich_rows(spark, path, probe_encoding(spark, path), first, columns)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -98,15 +98,8 @@ def glossary_entries(rows: DataFrame) -> DataFrame:
     )
 
 
-def heading_names(page: str) -> list[str]:
-    """Entry names of a concordance page."""
-    return [html.unescape(x) for x in re.findall(r'<h3>(.*?)<span class="match-count">', page, re.S)]
-
-
 def heading_names_of(pages: DataFrame, column: str = "html") -> DataFrame:
-    """The same for a column: place, name."""
+    """Entry names of concordance pages: place, name."""
     found = F.regexp_extract_all(column, F.lit(r'(?s)<h3>(.*?)<span class="match-count">'), F.lit(1))
     return pages.select("*", F.posexplode(found).alias("place", "raw")).withColumn("name", text.html_unescape("raw")).drop("raw", column)
 
-
-SECTION = T.StructType([T.StructField("page_no", T.IntegerType()), T.StructField("text", T.StringType())])
