@@ -7,10 +7,12 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, values
+from ..functions.reuse import once
 from ..operators import annotating, tagging
 from ..sources import pages as sources
 
@@ -20,7 +22,7 @@ def process_sections(sections: DataFrame, terms: DataFrame, make=lambda: annotat
     rows = sources.with_text(sections)
     rows = rows.withColumn("en_text_processed", text.rewrite_terms(F.col("en_text")))
     rows = rows.withColumns({"he_text_cleaned": text.clean_other(F.col("he_text")), "text": text.clean_english(F.col("en_text_processed")), "italicized_words": text.bold_italics(F.col("en_text_processed"))})
-    rows = annotating.annotate(rows, make)
+    rows = once(annotating.annotate(rows, make))  # each text is analysed once, whatever reads it
     if embed:
         rows = rows.withColumn("embedding", embed(F.col("he_text_cleaned")))
     return rows.join(tagging.generate_tags(rows, terms, "ref"), "ref", "left")
@@ -28,31 +30,97 @@ def process_sections(sections: DataFrame, terms: DataFrame, make=lambda: annotat
 
 def process_pages(sections: DataFrame, terms: DataFrame, make=lambda: annotating.simple_annotator, embed=None) -> DataFrame:
     """Pages: joined texts analysed anew, tags and italics of all sections; section_count counts blank sections too."""
-    done = process_sections(sections, terms, make, embed)
+    done = once(process_sections(sections, terms, make, embed))
     joined = tagging.joined_text(sources.with_text(sections), "page_ref", "section_number", ["en_text", "he_text"])
     page = joined.withColumn("en_text_processed", text.rewrite_terms(F.col("en_text"))).withColumn("text", text.clean_english(F.col("en_text_processed")))
-    page = annotating.annotate(page, make)
+    page = page.withColumn("he_text_cleaned", text.clean_other(F.col("he_text")))
+    if embed:
+        page = page.withColumn("embedding", embed(F.col("he_text_cleaned")))
+    page = once(annotating.annotate(page, make))
     for column in ("tags", "italicized_words"):
         page = page.join(tagging.union_by_page(done, "page_ref", column), "page_ref", "left").withColumn(column, F.coalesce(column, F.expr(text.NO_STRINGS)))
-    kept = [c for c in ("section_id", "section_number", "ref", "en_text", "en_text_processed", "he_text", "he_text_cleaned", "tags", "entities", "noun_phrases", "sentences", "italicized_words") if c in done.columns]
+    kept = [c for c in ("section_id", "section_number", "ref", "en_text", "en_text_processed", "he_text", "he_text_cleaned", "text", "tags", "entities", "noun_phrases", "sentences", "italicized_words", "embedding") if c in done.columns]
     nested = done.groupBy("page_ref").agg(F.array_sort(F.collect_list(F.struct(*[F.col("section_number").alias("__n"), *kept]))).alias("sections"))
     count = sections.groupBy("page_ref").agg(F.max("total_sections").alias("section_count"))
     return page.join(nested, "page_ref", "left").join(count, "page_ref")
 
 
+def analysed(x) -> Column:
+    """en_processed of a page, or of a section within (x gives its columns): what a page file holds of the analysis."""
+    texts = lambda c, *keys: F.transform(x(c), lambda e: F.struct(*(e[k].alias(k) for k in keys)) if len(keys) > 1 else e[keys[0]])
+    english = F.struct(texts("entities", "text", "label").alias("entities"), x("noun_phrases").alias("noun_phrases"), texts("sentences", "text").alias("sentences"), x("italicized_words").alias("italicized_words"))
+    return english.alias("en_processed")
+
+
+def shape(embedding: Column) -> Column:
+    """embedding_shape of a pooled vector: one row of its width; null without one."""
+    return F.struct(F.when(embedding.isNotNull(), F.array(F.lit(1), F.size(embedding))).alias("embedding_shape")).alias("he_processed")
+
+
+def page_objects(pages: DataFrame) -> DataFrame:
+    """What a page file holds, for each page of process_pages()."""
+    embedded = "embedding" in pages.columns
+    own = lambda c: F.col(c)
+    none = F.lit(None).cast("array<double>")
+
+    def section(s: Column) -> Column:
+        kept = [s[c].alias(c) for c in ("section_id", "section_number", "ref", "en_text", "en_text_processed", "he_text", "he_text_cleaned", "tags")]
+        return F.struct(*kept, analysed(lambda c: s[c]), shape(s["embedding"] if embedded else none))
+
+    return pages.select(F.col("page_ref").alias("ref"), "en_text", "en_text_processed", "he_text", analysed(own), shape(F.col("embedding") if embedded else none), "tags", "section_count", F.transform("sections", section).alias("sections"))
+
+
 def write_pages_json(pages: DataFrame, path: str) -> None:
-    """One JSON object a line, UTF-8 as it is."""
-    pages.write.mode("overwrite").json(path)
+    """One JSON object a line for each page, UTF-8 as it is; nulls are kept."""
+    page_objects(pages).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_page_files(pages: DataFrame, folder: str) -> None:
     """Small exports: an indented JSON file a page, streamed through the driver a page at a time."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for row in pages.toLocalIterator():
-        name = row["page_ref"].replace(" ", "_")
+    for row in page_objects(pages).toLocalIterator():
+        name = row["ref"].replace(" ", "_")
         (Path(folder) / f"{name}.json").write_text(json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2), encoding="utf-8")
 
 
+def page_documents(pages: DataFrame) -> DataFrame:
+    """page_ref and document: each page of process_pages() as Markdown, its sentences annotated by the page's tags."""
+
+    @F.pandas_udf("string")
+    def written(refs: pd.Series, tags: pd.Series, italics: pd.Series, other: pd.Series, annotated: pd.Series) -> pd.Series:
+        return pd.Series([page_markdown(r, list(t), list(i), list(o), list(a)) for r, t, i, o, a in zip(refs, tags, italics, other, annotated, strict=True)], dtype=object)
+
+    lookup = tagging.page_lookup(pages, "page_ref").groupBy("page_ref").agg(F.map_from_entries(F.collect_list(F.struct("lookup", "label"))).alias("lookup"))
+    no_terms = F.expr("cast(array() as array<struct<rank: int, term: string, label: string>>)")
+    rows = pages.join(lookup, "page_ref", "left").withColumn("lookup", F.coalesce("lookup", F.expr("cast(map() as map<string, string>)")))
+    rows = rows.withColumn("annotated", annotating.annotate_sentences()("text", "entities", "sentences", "lookup", no_terms))
+    return rows.select("page_ref", written("page_ref", "tags", F.array_sort("italicized_words"), text.sentences(F.col("he_text")), "annotated").alias("document"))
+
+
+def section_documents(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """page_ref and document: each page section by section, sentences annotated by the dictionaries' terms."""
+    ranked = tagging.section_lookup(terms)
+    lists = ranked.agg(F.collect_list(F.struct("lookup", "label")).alias("pairs"), F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, values.SECTION_PRIORITY)), "label").cast("int").alias("rank"), "term", "label")).alias("phrases"))
+
+    @F.pandas_udf("string")
+    def written(refs: pd.Series, sections: pd.Series, annotated: pd.Series) -> pd.Series:
+        out = []
+        for ref, own, sentences in zip(refs, sections, annotated, strict=True):
+            out.append(sections_markdown(ref, [{"section_number": s["section_number"], "tags": list(s["tags"]), "italics": list(s["italicized_words"]), "other": list(s["other"]), "annotated": list(a)} for s, a in zip(own, sentences, strict=True)]))
+        return pd.Series(out, dtype=object)
+
+    one = pages.select("page_ref", F.posexplode_outer("sections").alias("place", "s")).crossJoin(F.broadcast(lists))  # one row: the dictionary
+    annotated = annotating.annotate_sentences(escape=False)("s.text", "s.entities", "s.sentences", F.map_from_entries("pairs"), "phrases")
+    rows = one.withColumn("annotated", annotated).groupBy("page_ref").agg(F.array_sort(F.collect_list(F.struct("place", F.col("s.section_number").alias("section_number"), F.col("s.tags").alias("tags"), F.col("s.italicized_words").alias("italicized_words"), text.sentences(F.col("s.he_text")).alias("other"), "annotated"))).alias("found"))
+    return rows.select("page_ref", written("page_ref", "found", F.transform("found", lambda s: s["annotated"])).alias("document"))
+
+
+def write_markdown(documents: DataFrame, path: str) -> None:
+    """A folder with one text file for each page, by its name."""
+    rows = documents.select(F.regexp_replace("page_ref", "[ /]", "_").alias("page"), F.col("document").alias("value"))
+    rows.repartition("page").write.mode("overwrite").partitionBy("page").text(path)
+
+
 def listed(title: str, items: Iterable[str] | None, none: str) -> list[str]:
     return [title, "", *([f"- {x}" for x in items] if items else [none]), ""]
 
