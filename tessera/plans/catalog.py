@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.reuse import once
 from ..operators import annotating, glossary, indexing, matching, tagging, topics
 from ..sources import pages as page_sources
 from ..sources import tables
@@ -60,9 +61,10 @@ def keyword_index(spark, sf_dir):
 with w as (select source, regexp_extract_all(lower(text), '{LETTER}+') as ws from documents), g as (select source, unnest(ws) as keyword from w)
 select source as location, keyword, count(*) as n from g where keyword in ({", ".join(f"'{k}'" for k in KEYWORDS)}) group by all""")
 def keyword_index_words(spark, sf_dir):
-    """Whole words are met by an equi-join; counts are combined before the shuffle."""
-    words = matching.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"]).select("source", F.explode(matching.tokens(F.col("text"))).alias("keyword"))
-    return words.where(F.col("keyword").isin(KEYWORDS)).groupBy(F.col("source").alias("location"), "keyword").agg(F.count("*").alias("n"))
+    """Whole words; counts are combined before the shuffle."""
+    found = F.filter(matching.tokens(F.col("text")), lambda w: w.isin(KEYWORDS))  # within the row: only keywords become rows
+    words = matching.spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"]).select("source", F.explode(found).alias("keyword"))
+    return words.groupBy(F.col("source").alias("location"), "keyword").agg(F.count("*").alias("n"))
 
 
 NAME_SQL = rf"""w as (select doc_id, regexp_extract_all(lower(text), '[A-Za-z\x{{0100}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}''-]+') as ws from documents),
@@ -90,10 +92,11 @@ def concordance_summary(spark, sf_dir):
     return indexing.concordance_summary(indexing.concordance_totals(hits_of(spark, sf_dir)), terms(spark).select("term").distinct())
 
 
-@query(f"with {NAME_SQL} select gram, count(*) as n_docs from g where gram like '% %' group by gram having count(*) > 20")
+@query(f"with {NAME_SQL} select gram, count(*) as n_docs from g where gram like '% %' group by gram")
 def ngram_counts(spark, sf_dir):
-    grams = matching.name_ngrams(table(spark, sf_dir, "documents"), ["doc_id"], "text", 2)
-    return grams.where("gram like '% %'").groupBy("gram").agg(F.count("*").alias("n_docs")).where("n_docs > 20")
+    """Documents of every bigram."""
+    grams = matching.name_ngrams(table(spark, sf_dir, "documents"), ["doc_id"], "text", 2, [2])
+    return grams.groupBy("gram").agg(F.count("*").alias("n_docs"))
 
 
 @query(f"with {MET} select doc_id, source, term from met")
@@ -181,23 +184,6 @@ def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_escape(F.col("html")).alias("escaped"))
 
 
-@query()
-def html_unescape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_unescape(text.strip_tags(F.col("html"))).alias("text"))
-
-
-@query()
-def term_rewrites(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.rewrite_terms(F.col("text")).alias("text"))
-
-
-@query()
-def page_texts_cleaned(spark, sf_dir):
-    """Bold text, italics and display rewrites of rich HTML; unclosed tags give nothing."""
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", text.clean_english(h).alias("english"), text.bold_italics(h).alias("italics"), text.bold_text(h).alias("bold"), text.clean_other(h).alias("other"), text.rewrite_display(h).alias("display"))
-
-
 @query("select c_custkey, case when regexp_matches(c_name, '^[A-Za-z]') then upper(substr(c_name, 1, 1)) else '#' end as letter, lower(trim(c_name, '.:, ')) as value from customer")
 def name_values(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.letter_bucket(F.col("c_name")).alias("letter"), text.tag_value(F.col("c_name")).alias("value"))
@@ -257,11 +243,6 @@ def glossary_counts(spark, sf_dir):
     return glossary.counts(glossary_of(spark, sf_dir), "brand#1", "PROMO")
 
 
-@query()
-def glossary_sort(spark, sf_dir):
-    return glossary.sort_entries(glossary_of(spark, sf_dir)).select("row_no", "term")
-
-
 @query("""select source, length(string_agg(line, ' ' order by doc_id, n)) as chars, md5(string_agg(line, ' ' order by doc_id, n)) as digest
 from (select source, doc_id, unnest(range(len(string_split(text, chr(10))))) as n, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by source""")
 def page_text_concat(spark, sf_dir):
@@ -296,24 +277,20 @@ def label_lookup(spark, sf_dir):
 
 @query("select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def long_phrases(spark, sf_dir):
-    """Benchmark texts that documents hold as they are: candidates share the phrase's first six name tokens."""
-    first = F.array_join(F.slice(matching.tokens(F.col("text")), 2, 6), " ")
+    """Benchmark texts that documents hold as they are."""
     items, docs = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase")), table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    keyed = table(spark, sf_dir, "benchmark").select("item_id", first.alias("gram"))
-    grams = matching.spread(docs, ["doc_id"]).withColumn("w", matching.tokens(F.col("body"))).select("doc_id", F.explode(F.array_distinct(matching.ngrams(F.col("w"), [6]))).alias("gram"))
-    met = grams.join(keyed, "gram").select("doc_id", "item_id").distinct()
-    return met.join(docs, "doc_id").join(items, "item_id").where(F.contains("body", F.col("phrase"))).select("doc_id", "item_id")
+    return matching.phrase_matches(docs, "doc_id", "body", items, "item_id", "phrase")
 
 
 @query()
 def topic_model(spark, sf_dir):
-    return topics.topic_words(topics.fit_topics(table(spark, sf_dir, "documents").select("text"), n_topics=4, iterations=5))
+    return topics.topic_words(topics.fit_topics(table(spark, sf_dir, "documents").select("text")))
 
 
 @query()
 def annotate_documents(spark, sf_dir):
     """Rule-based analysis of documents, tags from it, and annotated sentences."""
-    docs = annotating.annotate(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    docs = once(annotating.annotate(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")))
     entities = F.transform("entities", lambda e: F.struct(e["text"].alias("text"), e["label"].alias("label")))
     tags = tagging.generate_tags(docs.select("doc_id", "text", entities.alias("entities"), "noun_phrases"), terms(spark), "doc_id")
     lookup = tagging.page_lookup(tags, "doc_id").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lookup", "label"))).alias("lookup"))
