@@ -182,16 +182,50 @@ def base_hits(words: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(words, F.lit(pattern), F.lit(0)), F.split(words, pattern, -1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is computed once, however often body uses it, within a function's argument too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join, block: int = 128) -> Column:
+    """What join() makes of all values before each one, from 0 on.
+
+    Arrays are copied as they grow, so they grow by blocks: first a value for each block, then the values within. A text's
+    time stays about in proportion to its matches.
+    """
+    zero = F.lit(0).cast("long")
+    grown = lambda start, part: F.aggregate(part, F.array(start), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x))))
+
+    def of(v: Column) -> Column:
+        part = lambda k: F.slice(v, k * block + 1, block)
+        parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / block) - 1, F.lit(0)).cast("int"))
+        starts = grown(zero, F.transform(parts, lambda k: F.aggregate(part(k), zero, join)))
+        return F.flatten(let(starts, lambda s: F.transform(parts, lambda k: F.slice(grown(F.get(s, k), part(k)), F.lit(1), F.size(part(k))))))
+
+    return let(values, of)
+
+
 def places(matches: Column, pieces: Column, make) -> Column:
     """make(start, end) for each match, in characters, from what stands between matches."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    size = lambda x: F.length(x).cast("long")
+    sizes = F.zip_with(matches, F.slice(pieces, F.lit(1), F.size(matches)), lambda m, p: F.struct(size(p).alias("piece"), size(m).alias("match")))
 
-    def step(now: Column, piece: Column) -> Column:
-        begin = now["at"] + F.length(piece)
-        end = begin + F.length(F.coalesce(F.get(matches, now["k"]), F.lit("")))
-        return F.struct(end.alias("at"), (now["k"] + 1).alias("k"), F.concat(now["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
+    def of(s: Column) -> Column:
+        before = running(F.transform(s, lambda x: x["piece"] + x["match"]), lambda x, y: x + y)
+        return F.zip_with(s, before, lambda x, b: make(F.struct((b + x["piece"]).alias("start"), (b + x["piece"] + x["match"]).alias("end"))))
 
-    return F.transform(F.slice(F.aggregate(pieces, start, step, lambda x: x["out"]), F.lit(1), F.size(matches)), make)
+    return let(sizes, of)
+
+
+def unmatched_within(found: Column) -> Column:
+    """Detections that lie within no other one, and of equal ones that of the highest rank, by place."""
+    keyed = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("end"), (-d["rank"]).alias("rank"), d.alias("d")))
+
+    def of(ordered: Column) -> Column:  # whatever contains a detection stands before it
+        reach = running(F.transform(ordered, lambda x: -x["end"]), lambda x, y: F.greatest(x, y))
+        return F.filter(F.zip_with(ordered, reach, lambda x, r: F.when(r < -x["end"], x["d"])), lambda d: d.isNotNull())
+
+    return let(F.array_sort(keyed), of)
 
 
 def license_scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
@@ -208,20 +242,17 @@ def license_scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,regex:string,needs:array<array<string>>,rank:int,confidence:double>>")
     first = F.filter(F.array(*(F.lit(f" {n} ") for n in needs)), lambda n: F.contains(F.col("w"), n))
 
+    none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,rank:int,confidence:double>>")
+
     def detected(r: Column) -> Column:
         matches, pieces = F.regexp_extract_all("w", r["regex"], F.lit(0)), F.split("w", r["regex"], -1)
-        found = places(matches, pieces, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), r["label"].alias("label"), r["rank"].alias("rank"), r["confidence"].alias("confidence")))
+        found = let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(places(m, pieces, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), r["label"].alias("label"), r["rank"].alias("rank"), r["confidence"].alias("confidence")))))
         return found
 
-    def outranked(d: Column, all_: Column) -> Column:
-        size = lambda x: x["end"] - x["start"]
-        return F.exists(all_, lambda e: (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & ((size(e) > size(d)) | (e["rank"] > d["rank"])))
-
-    none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,rank:int,confidence:double>>")
     tried = F.filter(literal, lambda r: F.arrays_overlap(F.col("gate"), r["needs"][0]) & F.forall(F.slice(r["needs"], 2, 9), lambda any_: F.exists(any_, lambda n: F.contains(F.col("w"), n))))
     out = words.withColumn("gate", first)
     out = out.withColumn("raw", F.when(F.size("gate") > 0, F.flatten(F.transform(tried, detected))).otherwise(none))
-    out = out.withColumn("detections", F.when(F.size("raw") > 1, F.filter("raw", lambda d: ~outranked(d, F.col("raw")))).otherwise(F.col("raw")))
+    out = out.withColumn("detections", F.when(F.size("raw") > 1, unmatched_within(F.col("raw"))).otherwise(F.col("raw")))
     any_base = F.lit(False)
     for phrase in BASE:
         any_base = any_base | F.contains("w", F.lit(f" {phrase} "))
