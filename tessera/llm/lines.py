@@ -63,11 +63,12 @@ def repeated_lines(docs: DataFrame, run: int, words: int | None = None) -> DataF
     for size in range(1, run) if words else ():
         positions = positions.unionByName(selected_positions(rows, size, words))
     positions = cut(positions)
-    met = positions.groupBy("size", "hash").agg(F.count("*").alias("n")).where("n > 1").select("size", "hash")
+    # What joins the positions is written first: Spark can then split the rows of a very common line or run.
+    met = cut(positions.groupBy("size", "hash").agg(F.count("*").alias("n")).where("n > 1").select("size", "hash"))
     # Extension: each run of a position that met another is spelled as the hashes of its lines; equal spelling, equal run.
     extended = positions.join(met, ["size", "hash"]).select("id", "th", "size", "first", "around", F.explode(F.expr("sequence(0, size(around) - size)")).alias("k"))
     extended = extended.select("id", "th", "size", (F.col("first") + F.col("k")).alias("start"), F.slice("around", F.col("k") + 1, F.col("size")).alias("content"))
-    first = extended.groupBy("content").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
+    first = cut(extended.groupBy("content").agg(F.min(F.struct("id", "th", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"))
     later = extended.join(first, "content").where(F.struct("id", "th", "start") > F.col("first"))
     gone = F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1)))
     return later.groupBy("id", "th").agg(F.array_sort(F.array_distinct(gone)).alias("gone"))
