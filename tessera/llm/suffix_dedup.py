@@ -13,7 +13,9 @@ suffixes that start with the same ``LEAD`` bytes at the same offset, and nothing
    are settled: all but the first are removed. Each task settles its own repeats before it shuffles, so a passage
    with very many copies sends one suffix a task.
 3. Only leads whose suffixes differ further on need their text: those go on to the second sort, which compares
-   window by window, with the bytes themselves checked.
+   window by window, with the bytes themselves checked. A lead with more than ``HOT`` kinds of suffixes would put all
+   of them in one task: its windows are dealt singly, by 128 bits of hash, and each task settles its own repeats
+   before it sends them, so a window with very many copies sends one a task.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +36,12 @@ LEAD = 32
 TOKENS = LEAD // 8
 PIECE = 1 << 19  # window starts handled at once; below 2 ** 20, see anchors()
 FLUSH = 1_000_000  # suffixes that a task gathers before it sends them
+HOT = 1_000  # kinds of suffixes of one lead above which its windows are dealt singly
 KEY = np.dtype("S12")  # a suffix's leading tokens as bytes
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SUFFIX = np.dtype([("lead", "<u8"), ("rest", "<u4"), ("span", "<u8"), ("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 MARKS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("lead", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+AROUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("lead", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("context", pa.binary())])
 SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
@@ -115,8 +121,8 @@ def sorted_by_tokens(*tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def settle(s: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes: which are repeats of an earlier one with the same windows, and which must still be compared."""
-    repeat, open_ = np.zeros(len(s), bool), np.zeros(len(s), bool)
+    """Of suffixes: which are repeats of an earlier one with the same windows, and which must still be compared (1; of a hot lead, 2)."""
+    repeat, open_ = np.zeros(len(s), bool), np.zeros(len(s), np.int8)
     if not len(s):
         return repeat, open_
     order, run = sorted_by_tokens(s["lead"], s["rest"])
@@ -132,7 +138,7 @@ def settle(s: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> tuple[np.ndarray,
     doc, top = x["doc"], x["doc"][head]
     repeat[order] = (ids[doc] != ids[top]) | (ths[doc] != ths[top]) | (x["pos"] != x["pos"][head])
     kinds = np.bincount(run, weights=new, minlength=run[-1] + 1)
-    open_[order] = new & (kinds[run] > 1)
+    open_[order] = new * (kinds[run] > 1) * np.where(kinds[run] > HOT, 2, 1)
     return repeat, open_
 
 
@@ -260,31 +266,75 @@ def sorting(batches):
         s["doc"] += np.repeat(shift[:-1], [len(x[0]) for x in held]).astype(np.uint32)
         held.clear()
         repeat, open_ = settle(s, ids, ths)
-        for kind, which in ((0, repeat), (1, open_)):
+        for kind, which in ((0, repeat), (1, open_ == 1), (2, open_ == 2)):
             for at in range(0, int(which.sum()), 100_000):
                 yield batch(MARKS, *marks(s[np.flatnonzero(which)[at : at + 100_000]], ids, ths, kind))
 
 
 def contexts(length: int):
-    """Around each suffix that must be compared further: the bytes of all windows that hang on it, left part padded."""
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lead", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("context", pa.binary())])
+    """Around each suffix that must be compared further: the bytes of all windows that hang on it, left part padded.
+
+    Kind 1: those bytes. Kind 2, of a hot lead: one window (lo = hi), named by 128 bits of hash (lead and context). Kind
+    0: windows of a hot lead, lo to hi, that are repeats of others in this task.
+    """
+
+    def single(hot: list[tuple]) -> Iterator[pa.RecordBatch]:
+        seen, rows = set(), []
+        for i, th, pos, lo, hi, context in sorted(set(hot)):
+            first = None  # of the offsets in a row that are repeats
+            for off in range(lo, hi + 2):
+                digest = xxhash.xxh3_128_digest(context[hi - off : hi - off + length]) if off <= hi else None
+                if digest in seen:
+                    first = off if first is None else first
+                    continue
+                if first is not None:
+                    rows.append((i, th, 0, xxhash.xxh64_intdigest(b"%d %d" % (i, pos)) - 2**63, pos, first, off - 1, b""))
+                    first = None
+                if digest:
+                    seen.add(digest)
+                    rows.append((i, th, 2, int.from_bytes(digest[:8], "little", signed=True), pos, off, off, digest[8:]))
+        for at in range(0, len(rows), 50_000):
+            yield batch(AROUND, *zip(*rows[at : at + 50_000], strict=True))
 
     def run(batches):
+        hot = []
         for b in batches:
             rows = []
             for i, th, text, open_ in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), byte_lists(b.column("text")), b.column("open").to_pylist(), strict=True):
-                for m in {(m["lead"], m["pos"], m["lo"], m["hi"]) for m in open_}:
-                    lead, pos, lo, hi = m
-                    rows.append((i, th, lead, pos, lo, hi, text[pos - hi : pos - lo + length]))
+                for kind, lead, pos, lo, hi in {(m["kind"], m["lead"], m["pos"], m["lo"], m["hi"]) for m in open_}:
+                    context = text[pos - hi : pos - lo + length]
+                    if kind == 2:
+                        hot.append((i, th, pos, lo, hi, context))
+                    else:
+                        rows.append((i, th, kind, lead, pos, lo, hi, context))
                 if len(rows) > 20_000:
-                    yield batch(schema, *zip(*rows, strict=True))
+                    yield batch(AROUND, *zip(*rows, strict=True))
                     rows = []
+                if len(hot) > 5_000:
+                    yield from single(hot)
+                    hot = []
             if rows:
-                yield batch(schema, *zip(*rows, strict=True))
+                yield batch(AROUND, *zip(*rows, strict=True))
+        if hot:
+            yield from single(hot)
 
     return run
 
 
+def settled(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Of windows dealt singly: those known as repeats, and all but the first of each hash."""
+    ids, ths, kind, lead, pos, lo, hi = (t.column(c).to_numpy() for c in ("id", "th", "kind", "lead", "pos", "lo", "hi"))
+    check = np.array([int.from_bytes(x, "little") for x in t.column("context").to_pylist()], np.uint64)
+    order = np.lexsort((pos, ths, ids, check, lead, kind))
+    same = (kind[order][1:] == 2) & (kind[order][:-1] == 2) & (lead[order][1:] == lead[order][:-1]) & (check[order][1:] == check[order][:-1])
+    head = order[np.flatnonzero(np.append(True, ~same))[np.cumsum(np.append(True, ~same)) - 1]]
+    other = (ids[order] != ids[head]) | (ths[order] != ths[head]) | (pos[order] != pos[head])
+    go = order[(kind[order] == 0) | other]
+    for at in range(0, len(go), 100_000):
+        w = go[at : at + 100_000]
+        yield batch(SPANS, ids[w], ths[w], pos[w] - hi[w], pos[w] - lo[w] + length)
+
+
 def comparing(length: int):
     """All suffixes of some leads: windows at one offset from the same lead are sorted by their bytes; all but the first are repeats."""
 
@@ -292,10 +342,16 @@ def comparing(length: int):
         tables = [b for b in batches if b.num_rows]
         if not tables:
             return
-        t = pa.Table.from_batches(tables).combine_chunks()
+        t = pa.Table.from_batches(tables)
+        del tables
+        bytewise = pc.equal(t.column("kind"), 1)
+        if len(alone := t.filter(pc.invert(bytewise))):
+            yield from settled(alone, length)
+        t = t.filter(bytewise).combine_chunks()
+        if not len(t):
+            return
         ids, ths, lead, pos, lo, hi = (t.column(c).to_numpy() for c in ("id", "th", "lead", "pos", "lo", "hi"))
         order = np.lexsort((pos, ths, ids, lead))
-        del tables
         data = t.column("context").combine_chunks()
         data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
         flat, offsets = np.frombuffer(data.buffers()[2], np.uint8), np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
@@ -390,12 +446,12 @@ def suffix_dedup(docs: DataFrame, length: int = 100, sampled: int = 5_000, keep_
     sent = rows.mapInArrow(sending(length, b"".join(splitters)), "bucket int, kind int, blob binary")
     marked = cut(sent.repartitionById(n, "bucket").select("kind", "blob").mapInArrow(sorting, "id long, th long, kind int, lead long, pos long, lo int, hi int"))
     release(spark)
-    opened = marked.where("kind = 1").groupBy("id", "th").agg(F.collect_list(F.struct("lead", "pos", "lo", "hi")).alias("open"))
-    around = rows.join(opened, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(contexts(length), "id long, th long, lead long, pos long, lo int, hi int, context binary")
+    opened = marked.where("kind > 0").groupBy("id", "th").agg(F.collect_list(F.struct("kind", "lead", "pos", "lo", "hi")).alias("open"))
+    around = rows.join(opened, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(contexts(length), "id long, th long, kind int, lead long, pos long, lo int, hi int, context binary")
     compared = cut(around.repartition(n, "lead").mapInArrow(comparing(length), "id long, th long, start long, end long"))
     release(spark)
-    settled = marked.where("kind = 0").select("id", "th", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
-    spans = settled.unionByName(compared).groupBy("id", "th").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
+    repeats = marked.where("kind = 0").select("id", "th", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
+    spans = repeats.unionByName(compared).groupBy("id", "th").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("spans"))
     out = rows.join(spans, ["id", "th"], "left").select("id", "text", "spans")
     return out.mapInArrow(removing(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
 

@@ -30,6 +30,29 @@ def test_suffix_dedup_without_ids(spark):
     assert sorted(r.n_removed for r in got) == [0] * 40 + [256]
 
 
+def removed_bytes(texts: list[str], length: int = 100) -> list[int]:
+    seen, out = set(), []
+    for text in texts:
+        gone = bytearray(len(text))
+        for p in range(len(text) - length + 1):
+            if text[p : p + length] in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(text[p : p + length])
+        out.append(sum(gone))
+    return out
+
+
+def test_suffix_dedup_hot_lead(spark):
+    """A passage between many different beginnings and ends: its windows are dealt singly, with the same result."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    middle, short, ends = word(120), word(70), [word(90) for _ in range(40)]
+    texts = [(ends[k % 40] if k % 3 else word(90)) + (middle if k % 4 else short) + (ends[k // 40] if k % 5 else word(90)) for k in range(1_500)]
+    got = suffix_dedup.suffix_dedup(frame(spark, [*enumerate(texts), (7, texts[7]), (8, texts[8])])).collect()
+    want = removed_bytes(texts)
+    assert len(got) == 1_502 and [(r.doc_id, r.n_removed) for r in got if r.n_removed != want[r.doc_id]] == []
+
+
 def test_chat_role_with_line_break(spark):
     rows = [(1, 0, "to\nol", "a\nb"), (1, 1, "[ROLE]\n", "</s>"), (1, 2, "assistant", "x" * 200_000)]
     df = frame(spark, [(*r, "y", "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string, valid string")
