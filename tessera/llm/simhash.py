@@ -33,6 +33,8 @@ BANDS, ROWS = 40, 6  # at similarity 0.8, all bands differ for 5 in a million pa
 SLACK = 5.0  # standard deviations of the differing bits allowed for in candidates; the sets themselves decide
 SMALL, LOOSE = 20, 255  # shingles of sets that are also dealt by the start of their sorted hashes; bits in which such may differ: 192 on average for 4 in 5, 12.5 the deviation
 
+BLOCK = 1_000  # members of a group that are compared at once, twice as many in the second pass
+
 
 def fingerprint(text: bytes, words: int) -> int:
     """SimHash of the ASCII-lower-cased text's word shingles; no words: 0."""
@@ -393,50 +395,102 @@ def connect_wide(code: np.ndarray, bucket: np.ndarray, entry: np.ndarray, forest
             at = end
 
 
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def seeded(name: np.ndarray, entry: np.ndarray, comp: np.ndarray) -> Forest:
+    """A forest over names in which entries of one component (of an earlier pass) are connected."""
+    forest, order = Forest(len(name)), np.argsort(comp, kind="stable")
+    same = comp[order][1:] == comp[order][:-1]
+    forest.join(entry[order][1:][same], entry[order][:-1][same])
+    return forest
+
+
+def spanning(name: np.ndarray, forest: Forest):
+    moved = np.flatnonzero(forest.label != np.arange(len(name)))
+    for at in range(0, len(moved), 100_000):
+        m = moved[at : at + 100_000]
+        yield batch(LINKS, name[m], name[forest.label[m]])
+
+
 def linking_wide(distance: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Candidates within each cell, by their wide fingerprints; cells of small sets have odd numbers."""
 
     def run(batches):
-        parts = [(long_array(b.column("band")), long_array(b.column("own")), b"".join(b.column("fp").to_pylist())) for b in batches if b.num_rows]
+        parts = [(long_array(b.column("cell")), long_array(b.column("own")), long_array(b.column("comp")), b"".join(b.column("fp").to_pylist())) for b in batches if b.num_rows]
         if not parts:
             return
-        band, own = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
-        code = np.frombuffer(b"".join(p[2] for p in parts), "<u8").reshape(-1, WIDE)
+        cell, own, comp = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:3])
+        code = np.frombuffer(b"".join(p[3] for p in parts), "<u8").reshape(-1, WIDE)
         name, entry = np.unique(own, return_inverse=True)
-        forest = Forest(len(name))
-        connect_wide(code, band, entry, forest, np.where(band & 1, LOOSE, distance))
-        moved = np.flatnonzero(forest.label != np.arange(len(name)))
-        for at in range(0, len(moved), 100_000):
-            m = moved[at : at + 100_000]
-            yield batch(schema, name[m], name[forest.label[m]])
+        forest = seeded(name, entry, comp)
+        connect_wide(code, cell, entry, forest, np.where(cell & 1, LOOSE, distance))
+        yield from spanning(name, forest)
 
     return run
 
 
 def verifying(words: int, similarity: float, distance: int):
-    """Links within each candidate group (column root; all its texts are in one task) by the sets themselves."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Links within each cell by the sets themselves."""
 
     def run(batches):
-        roots, sets = {}, {}
+        members, sets, comps = set(), {}, {}
         for b in batches:
-            for own, root, text in zip(b.column("own").to_pylist(), b.column("root").to_pylist(), byte_lists(b.column("text")), strict=True):
-                if own not in roots:
-                    roots[own], sets[own] = root, shingle_hashes(text, words)
-        if not roots:
+            for cell, own, comp, text in zip(*(b.column(c).to_pylist() for c in ("cell", "own", "comp")), byte_lists(b.column("text")), strict=True):
+                members.add((cell, own))
+                if own not in sets:
+                    sets[own], comps[own] = shingle_hashes(text, words), comp
+        if not members:
             return
-        name = np.array(sorted(roots), np.int64)
+        name = np.array(sorted(sets), np.int64)
         hashes = [sets[x] for x in name.tolist()]
-        code, forest = np.array([wide_fingerprint(x) for x in hashes]), Forest(len(name))
-        connect_wide(code, np.array([roots[x] for x in name.tolist()]), np.arange(len(name)), forest, distance, lambda i, j: alike(hashes[i], hashes[j], similarity))
-        moved = np.flatnonzero(forest.label != np.arange(len(name)))
-        for at in range(0, len(moved), 100_000):
-            m = moved[at : at + 100_000]
-            yield batch(schema, name[m], name[forest.label[m]])
+        code = np.array([wide_fingerprint(x) for x in hashes])
+        cell, own = np.array(sorted(members), np.int64).T
+        entry = np.searchsorted(name, own)
+        forest = seeded(name, np.arange(len(name)), np.array([comps[x] for x in name.tolist()], np.int64))
+        connect_wide(code[entry], cell, entry, forest, distance, lambda i, j: alike(hashes[i], hashes[j], similarity))
+        yield from spanning(name, forest)
 
     return run
 
 
+def in_blocks(members: DataFrame, link) -> DataFrame:
+    """node and component of what ``link`` connects within groups, none of which has to meet in one task.
+
+    members: group and own (once a group), both long. ``link`` takes cell, own and comp and returns edges a, b within
+    each cell; of members that agree in comp it may take for granted that they are connected.
+
+    First pass: a group of more than ``block`` members is dealt to blocks by hash, and its smallest and largest member
+    go to each, so that a group of copies is connected already. Second pass, for groups where it isn't: members
+    outside the smallest one's component are dealt to blocks of their own, each of which meets every other block of the
+    group. All members of a group have then met, or are known to be connected.
+    """
+    number = lambda *c: F.xxhash64("group", *c).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("group").bitwiseAND(F.lit(1)))
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("long")
+    place = lambda n: F.pmod(F.xxhash64("own", F.lit(1)), n)
+    sizes = cut(members.groupBy("group").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")).where("n > 1"))
+    dealt = members.join(sizes, "group").withColumn("blocks", blocks("n"))
+    everywhere = F.col("own").isin(F.col("low"), F.col("high"))
+    dealt = dealt.withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(place(F.col("blocks"))))))
+    near = connected_components(link(dealt.select(number("part").alias("cell"), "own", F.col("own").alias("comp"))))
+    large = sizes.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return near
+    named = members.join(large.select("group", "low"), "group").join(near.withColumnRenamed("node", "own"), "own", "left")
+    named = cut(named.select("group", "own", F.coalesce("component", "own").alias("comp"), (F.col("own") == F.col("low")).alias("lowest")))
+    main = named.where("lowest").select("group", F.col("comp").alias("main"))
+    out = F.col("comp") != F.col("main")
+    apart = cut(named.join(main, "group").groupBy("group", "main").agg(F.sum((~out).cast("long")).alias("n_main"), F.sum(out.cast("long")).alias("n_out")).where("n_out > 0"))
+    if apart.isEmpty():
+        return near
+    dealt = named.join(apart, "group").withColumns({"m": blocks("n_main"), "all": blocks("n_main") + blocks("n_out")})
+    dealt = dealt.withColumn("part", F.when(out, F.col("m") + place(F.col("all") - F.col("m"))).otherwise(place(F.col("m"))))
+    others = F.sequence(F.when(out, F.lit(0).cast("long")).otherwise(F.col("m")), F.col("all") - 1)
+    dealt = dealt.withColumn("other", F.explode(others)).where("other != part")
+    edges = link(dealt.select(number(F.least("part", "other"), F.greatest("part", "other")).alias("cell"), "own", "comp"))
+    return connected_components(edges.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, th (see keyed()), first_id and first_th of each row: the smallest of its group of near-duplicates.
 
@@ -444,7 +498,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     fingerprints differ in no more bits than such sets do, with allowance for chance. Two sets of cosine c differ in a
     bit with the chance arccos(c) / pi, and c is at least 2 s / (1 + s). At 0.8 that is 15 in 100 bits, too many to deal
     fingerprints by whole bit blocks, so they are dealt by bands of smallest shingle hashes and compared within a band in
-    Gray order. Each component of candidates then meets in one task, where only pairs whose sets are similar are joined.
+    Gray order. Within a component of candidates only pairs whose sets are similar are then joined. Large bands and
+    components are compared in blocks; see in_blocks().
     Texts without words, null ones too, are one group. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -453,15 +508,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     rows = cut(keyed(docs).mapInArrow(describing(words, similarity), "id long, th long, own long, fp binary, bands array<long>"))
     least = F.min(F.struct("id", "th")).alias("least")
     sets = cut(rows.groupBy("own").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    bands = sets.select("own", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    dealt = bands.join(shared, "band").join(sets.select("own", "fp"), "own").repartition(shuffle_partitions(spark), "band")
-    edges = dealt.select("band", "own", "fp").mapInArrow(linking_wide(distance), "a long, b long")
-    near = connected_components(edges).select(F.col("node").alias("own"), F.col("component").alias("root"))
-    near = sets.select("own", "least.id", "least.th").join(near, "own")
-    near = keyed(docs).join(near, ["id", "th"]).select("own", "root", "text").repartition(shuffle_partitions(spark), "root")
-    edges = near.mapInArrow(verifying(words, similarity, max(distance, LOOSE)), "a long, b long")
-    root = connected_components(edges).select(F.col("node").alias("own"), F.col("component").alias("root"))
+    n = shuffle_partitions(spark)
+
+    def candidates(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(sets.select("own", "fp"), "own").repartition(n, "cell").select("cell", "own", "comp", "fp")
+        return rows.mapInArrow(linking_wide(distance), "a long, b long")
+
+    def verified(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(sets.select("own", "least.id", "least.th"), "own").join(keyed(docs), ["id", "th"]).repartition(n, "cell")
+        return rows.select("cell", "own", "comp", "text").mapInArrow(verifying(words, similarity, max(distance, LOOSE)), "a long, b long")
+
+    bands = sets.select(F.explode(F.array_distinct("bands")).alias("group"), "own")
+    near = cut(in_blocks(bands, candidates).select(F.col("component").alias("group"), F.col("node").alias("own")))
+    root = in_blocks(near, verified).select(F.col("node").alias("own"), F.col("component").alias("root"))
     named = cut(sets.select("own", "least").join(root, "own", "left").select("own", "least", F.coalesce("root", "own").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     named = named.join(first, "root").select("own", "first")

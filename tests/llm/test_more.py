@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, common, decontaminate, gif, langid, licenses, lines, mixing, pii, suffix_dedup
+from tessera.llm import chat, common, decontaminate, gif, langid, licenses, lines, mixing, pii, simhash, suffix_dedup
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -252,6 +252,50 @@ def test_lines_by_brute_force(spark, words):
     assert all(r.n_chars == len(r.text) for r in rows if r.gone)
 
 
+@pytest.mark.parametrize("kinds", [1, 7, 4_000])
+def test_in_blocks(spark, kinds):
+    """Groups beyond a block: all that link meet, whatever the number of components, and no cell is larger than two blocks."""
+    members = spark.range(6_000).selectExpr("explode(array(2L, 3L + id div 5000, 9L + 2 * (id div 3))) as group", "id * 31 as own")
+    sizes = []
+
+    def link(rows):
+        sizes.append(rows.groupBy("cell").count().agg(F.max("count")).first()[0])
+        kind = rows.withColumn("kind", F.col("own") % kinds)
+        least = kind.groupBy("cell", "kind").agg(F.min("own").alias("b"))
+        return kind.join(least, ["cell", "kind"]).select(F.col("own").alias("a"), "b")
+
+    got = {r.node: r.component for r in simhash.in_blocks(members, link).collect()}
+    want = {}
+    for own in range(0, 6_000 * 31, 31):
+        want.setdefault(own % kinds, own)
+    assert all(got.get(own, own) == want[own % kinds] for own in range(0, 6_000 * 31, 31))
+    assert len(sizes) == (1 if kinds == 1 else 2) and max(sizes) <= 2.5 * simhash.BLOCK
+
+
+def test_similar_groups_beyond_a_block(spark):
+    """Near copies, more of them than a block holds, and others that share bands with them, fall into their own groups."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    short = [f"s{k}" for k in range(8)]
+    rows = [(k, " ".join([*base[: k % 60], f"x{k}", *base[k % 60 + 1 :]])) for k in range(1_200)]
+    rows += [(10_000 + k, " ".join([*short, f"y{k}", f"z{k % 600}"])) for k in range(1_200)]  # one shingle of six in common, or more
+    got = {r.id: r.first_id for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root(i) != root(j) and jaccard(a, sets[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    assert got == {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}
+
+
 def test_large_documents_are_balanced(spark):
     """A document far larger than the others doesn't throw its source off its target."""
     rng = random.Random(4)
