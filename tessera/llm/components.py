@@ -9,14 +9,16 @@ from .common import cut
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over edges (a > b): each node's larger (or smaller) neighbours, and it, are hung on its smallest."""
-    ways = edges.select("a", "b")
+    """One round over edges (a > b): each node's larger (or smaller) neighbours, and with the latter it, are hung on its smallest neighbour, or on it if it has no smaller one.
+
+    The larger neighbours of a node may be very many. Its smallest is written before they are joined, so that Spark can
+    split them.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
     if large:
-        ways = ways.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    met = ways.join(least, ways["a"] == least["u"])
-    hung = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return hung.where("a > b").distinct()
+        return edges.join(cut(least), F.col("b") == F.col("u"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    hung = edges.join(least, F.col("a") == F.col("u")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return hung.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
