@@ -126,17 +126,28 @@ def marking(sieve: bytes):
                 if strong:
                     free = outside(base_spans(text))
                     rows += [(i, th, m.group().lower(), m.start(), m.end()) for m in TERM.finditer(text) if m.group() in strong and free(m)]
-            for at in range(0, len(rows), 50_000):
-                yield batch(MARKED, *zip(*rows[at : at + 50_000], strict=True))
+                while len(rows) >= 50_000:
+                    yield batch(MARKED, *zip(*rows[:50_000], strict=True))
+                    del rows[:50_000]
+            if rows:
+                yield batch(MARKED, *zip(*rows, strict=True))
 
     return run
 
 
+SIEVE = 1 << 23  # the most places of a sieve, a byte each
+
+
 def sieve_of(terms: DataFrame) -> bytes:
-    """A table, 16 to 32 times as long as there are terms, that is 1 at the hash of each; others that pass are dropped by a join."""
-    hashes = np.array([r[0] for r in terms.select(F.xxhash64("term")).toLocalIterator()], np.int64)
-    table = np.zeros(1 << max(10, (16 * len(hashes)).bit_length()), np.uint8)
-    table[hashes & (len(table) - 1)] = 1
+    """A table that is 1 at the hash of each term, and 16 to 32 times as long as there are terms, but SIEVE at most.
+
+    Others that pass are dropped by a join, so a fuller table costs time and loses nothing. The driver gets no more than
+    the table's places.
+    """
+    size = min(SIEVE, 1 << max(10, (16 * terms.count()).bit_length()))
+    places = terms.select(F.xxhash64("term").bitwiseAND(F.lit(size - 1)).cast("int").alias("place")).distinct().toArrow()
+    table = np.zeros(size, np.uint8)
+    table[places.column("place").to_numpy()] = 1
     return table.tobytes()
 
 

@@ -183,6 +183,17 @@ def test_pii_counts_rows_once(spark):
     assert pii.sanitise(frame(spark, made).where("false")).isEmpty()
 
 
+def test_pii_full_sieve(spark, monkeypatch):
+    """A sieve has no more places than SIEVE, and one that lets everything pass changes no result."""
+    name = lambda k: f"zorblatt{chr(97 + k % 4)}{chr(97 + k % 40 // 4)}"
+    made = [(k, f"{name(k)} wrote a{k % 40}.b@c.de at noon") for k in range(120)] + [(k, f"plain words {k} {name(k)}") for k in range(200, 230)]
+    found = lambda: {(r.id, t.start, t.end) for r in pii.personal_data(frame(spark, made)).collect() for t in r.terms}
+    want = found()
+    monkeypatch.setattr(pii, "SIEVE", 8)
+    assert len(pii.sieve_of(frame(spark, [(f"t{k}",) for k in range(500)], "term string"))) == 8
+    assert want and found() == want
+
+
 def test_language_letters(spark):
     """Signs that count as word characters but are no letters."""
     assert not langid.has_letter("½ ² ٣ _ 7") and langid.has_letter("½ ª") and langid.has_letter("7x")
