@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,42 @@ def test_topics_use_every_document(spark):
     model = topics.fit_topics(docs, 2, stop_words=["fruit"], max_share=0.9)
     assert sorted(model.stages[2].vocabulary) == ["apple", "banana", "car", "engine", "wheel"]
     assert model.stages[3].getSubsamplingRate() == 1.0
+
+
+def test_topics_by_definition(spark):
+    """A fit over several blocks against one plain variational Bayes on the whole; the model holds the vocabulary and the weights as tables, not as lists of the driver."""
+    rng = np.random.default_rng(1)
+    words = [f"w{k:02d}" for k in range(40)]
+    texts = [" ".join(rng.choice(words[20 * (d % 2) : 20 * (d % 2) + 20], rng.integers(1, 60))) for d in range(30)] + ["a !"]
+    rows = [[t.split().count(w) for w in words] for t in texts[:-1]]
+    n_docs = (np.array(rows) > 0).sum(0)
+    assert ((n_docs >= 2) & (n_docs <= 0.95 * len(texts))).all()
+    weights, alpha = topics.first_weights(0, len(words), 2, 3), np.full(2, 0.5)
+    psi = topics.digamma
+    for i in range(1, 4):
+        beta, sums, logs, w = np.exp(psi(weights) - psi(weights.sum(1))[:, None]), 0, 0, (1024 + i) ** -0.51
+        for c in np.array(rows):
+            gamma = np.ones(2)
+            for _ in range(5000):
+                theta = np.exp(psi(gamma) - psi(gamma.sum()))
+                gamma = theta * (beta @ (c / (theta @ beta))) + alpha
+            theta = np.exp(psi(gamma) - psi(gamma.sum()))
+            sums, logs = sums + theta[:, None] * (c / (theta @ beta)) * beta, logs + psi(gamma) - psi(gamma.sum())
+        weights, alpha = (1 - w) * weights + w * (sums + 0.5), topics.better_alpha(alpha, logs, len(rows), w)
+    model = topics.fit_topics(spark.createDataFrame([(t,) for t in texts + [None]], "text string").repartition(3), 2, seed=3, iterations=3, stop_words=["none"])
+    got = np.concatenate([x for _, x in sorted(model.stages[3].weights.collect(), key=lambda x: x[0])], axis=1)
+    assert model.stages[2].vocabulary == words and np.allclose(got, weights, atol=0.01)
+    found = topics.topic_words(model, 5)
+    assert [r.words for r in found.orderBy("topic").collect()] == [[words[k] for k in np.argsort(-x)[:5]] for x in got]
+    assert not any(isinstance(x, list) and len(x) >= len(words) for x in vars(model.stages[2]).values())
+
+
+def test_topics_in_parts():
+    """Documents of unlike lengths inferred together, and each alone."""
+    assert np.allclose(topics.digamma(np.array([0.2, 1, 5, 1e6])), [-5.2890398966, -0.5772156649, 1.5061176685, 13.8155100580]) and np.allclose(topics.trigamma(np.array([1.0, 5])), [1.6449340668, 0.2213229557])
+    rng = np.random.default_rng(0)
+    lengths, beta, alpha = np.array([1, 3, 900, 2, 40]), rng.random((1000, 3)), np.array([0.1, 0.3, 0.6])
+    places, counts = np.concatenate([rng.choice(1000, n, replace=False) for n in lengths]), rng.integers(1, 9, lengths.sum()).astype(np.float32)
+    whole = topics.block_sums(np.cumsum(lengths), places, counts, beta, alpha)
+    alone = [topics.block_sums(np.array([n]), places[e - n : e], counts[e - n : e], beta, alpha) for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
+    assert np.allclose(whole[0], sum(x for x, *_ in alone), rtol=1e-4) and np.allclose(whole[1], sum(x for _, x, _ in alone), rtol=1e-4) and np.isclose(whole[0].sum(), counts.sum())
