@@ -141,3 +141,13 @@ def test_topics_in_parts():
     whole = topics.block_sums(np.cumsum(lengths), places, counts, beta, alpha)
     alone = [topics.block_sums(np.array([n]), places[e - n : e], counts[e - n : e], beta, alpha) for n, e in zip(lengths, np.cumsum(lengths), strict=True)]
     assert np.allclose(whole[0], sum(x for x, *_ in alone), rtol=1e-4) and np.allclose(whole[1], sum(x for _, x, _ in alone), rtol=1e-4) and np.isclose(whole[0].sum(), counts.sum())
+
+
+def test_cut_off_references(spark, tmp_path):
+    """Pages that end within a reference keep its start, as the SQL has it."""
+    from tessera.plans import catalog
+
+    texts = ["<p>a &amp; b&ampp{x}", "&am&quot;p; &&amp;copy; &copy &copy;", "&middot;&amp;amp;quot;", "&lt; &#65;", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = dict(duckdb.sql(catalog.ORACLES["html_unescape"].replace("from pages", f"from '{tmp_path}/pages.parquet/*.parquet'")).fetchall())
+    assert {r.page_id: r.text for r in catalog.QUERIES["html_unescape"](spark, str(tmp_path)).collect()} == want
