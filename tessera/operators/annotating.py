@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,22 @@ SENTENCE = re.compile(r"\S[^.!?]*[.!?]*")
 PHRASE = re.compile(r"(?:the|a|an|his|her|their|this)\s+(?:\w+\s+){0,2}\w+", re.I)
 
 
+#: The same in Arrow's types, and the bytes of texts whose annotation is held as Python objects at once.
+SPAN = {"start_char": pa.int32(), "end_char": pa.int32()}
+ANALYSED = {"entities": pa.list_(pa.struct({"text": pa.string(), "label": pa.string()} | SPAN)), "noun_phrases": pa.list_(pa.string()), "sentences": pa.list_(pa.struct({"text": pa.string()} | SPAN))}
+MOST_BYTES = 1 << 20
+
+
+def runs(rows: pa.RecordBatch | pa.StructArray, texts: pa.Array) -> Iterable:
+    """Slices of rows with about MOST_BYTES of texts, one row at least: annotations take many times a text's bytes as Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_BYTES, "right")))
+        yield rows.slice(at, to - at)
+        at = to
+
+
 def simple_annotator(text: str) -> dict:
     """Rules in place of a language model: sentences by marks, names by capitals within sentences, noun phrases by articles. It claims no model's quality."""
     sentences = [(m.group(), m.start(), m.end()) for m in SENTENCE.finditer(text)]
@@ -33,13 +51,14 @@ def annotate(docs: DataFrame, make: Callable[[], Callable[[str], dict]] = lambda
     keep = [c for c in docs.columns if c not in ("entities", "noun_phrases", "sentences")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep) + ", " + ANALYSIS
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         annotator = make()
         for b in batches:
-            found = [annotator(t or "") for t in b[column]]
-            yield b[keep].assign(**{k: [x[k] for x in found] for k in ("entities", "noun_phrases", "sentences")})
+            for rows in runs(b, b.column(column)):
+                found = [annotator(t or "") for t in rows.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array([x[k] for x in found], t) for k, t in ANALYSED.items())], names=[*rows.schema.names, *ANALYSED])
 
-    return docs.select(*(f"`{c}`" for c in keep)).mapInPandas(run, schema)
+    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
 
 
 def mean_pool(vectors: Column) -> Column:
@@ -113,18 +132,22 @@ def annotate_sentence(sentence: str, entities: list[tuple[int, int, str, str]],
 def annotate_sentences(compat: bool = False, escape: bool = True):
     """A function of (text, entities, sentences, lookup, terms) columns that gives a document's annotated sentences. lookup: map of key to label; terms: array of struct rank, term, label."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series, entities: pd.Series, sentences: pd.Series, lookups: pd.Series, terms: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, entities: pa.Array, sentences: pa.Array, lookups: pa.Array, terms: pa.Array) -> pa.Array:
         out = []
-        for doc, ents, sents, lookup, phrases in zip(texts, entities, sentences, lookups, terms, strict=True):
-            lookup = dict(lookup or {})
-            phrases = [(p["rank"], p["term"], p["label"]) for p in (phrases if phrases is not None else ())]
+        for rows in runs(pa.RecordBatch.from_arrays([texts, entities, sentences, lookups, terms], names=list("abcde")), texts):
             done = []
-            for s in sents if sents is not None else ():
-                a, z = s["start_char"], s["end_char"]
-                own = [(e["start_char"] - a, e["end_char"] - a, e["text"], e["label"]) for e in (ents if ents is not None else ()) if e["start_char"] >= a and e["end_char"] <= z]
-                done.append(annotate_sentence(doc[a:z], own, lookup, phrases, compat, escape))
-            out.append(done)
-        return pd.Series(out, dtype=object)
-
-    return run
+            for doc, ents, sents, lookup, phrases in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                lookup, phrases = dict(lookup or ()), [(p["rank"], p["term"], p["label"]) for p in phrases or ()]
+                done.append([annotate_sentence(doc[s["start_char"] : s["end_char"]], within(ents or (), s["start_char"], s["end_char"]), lookup, phrases, compat, escape) for s in sents or ()])
+            out.append(pa.array(done, pa.list_(pa.string())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    def within(ents, a: int, z: int) -> list[tuple[int, int, str, str]]:
+        return [(e["start_char"] - a, e["end_char"] - a, e["text"], e["label"]) for e in ents if e["start_char"] >= a and e["end_char"] <= z]
+
+    def columns(texts, entities, sentences, lookups, terms) -> Column:
+        spans = F.transform(sentences, lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char")))  # their texts are the document's
+        return run(texts, entities, spans, lookups, terms)
+
+    return columns

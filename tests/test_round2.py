@@ -167,3 +167,16 @@ def test_rewrites_search_only_what_is_held(spark):
     df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", text.rewrite_terms(x).alias("got"), plain.alias("want"))
     assert df.where("not got <=> want").count() == 0 and df.where("not x <=> want").count() > 1000
     assert df.select("got")._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(") <= 1
+
+
+def test_annotation_in_runs(spark):
+    """Texts are annotated a bounded number of bytes at a time, long and missing ones too, with the same results."""
+    import pyarrow as pa
+
+    texts = ["x" * (annotating.MOST_BYTES + 5), None, "It is Moses here. Nothing.", "y" * (annotating.MOST_BYTES - 40), "", "x is Aaron there"]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    assert [len(r) for r in annotating.runs(rows, rows.column("t"))] == [1, 4, 1] and list(annotating.runs(rows.slice(0, 0), rows.column("t").slice(0, 0))) == []
+    docs = annotating.annotate(spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1))
+    lookup, none = F.expr("map('moses', 'person:bible')"), F.expr("cast(array() as array<struct<rank: int, term: string, label: string>>)")
+    got = {r.k: r.s for r in docs.select("k", annotating.annotate_sentences(escape=False)("text", "entities", "sentences", lookup, none).alias("s")).collect()}
+    assert got == {0: [texts[0]], 1: [], 2: ["It is **Moses**`[person:bible]` here.", "Nothing."], 3: [texts[3]], 4: [], 5: ["x is **Aaron**`[PERSON]` there"]}
